@@ -74,15 +74,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def trimmed(text: Column) -> Column:
-    """Without ASCII white space at both ends; null is empty."""
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for null or blank ones."""
-    t = trimmed(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def total(columns: list[Column]) -> Column:

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, documents, fresh, labels, shl, shr, trimmed
+from .common import SPACE, cut, documents, fresh, labels, shl, words
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -48,9 +48,7 @@ def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     needs); equal neighbours, confirmed word by word, are windows that occur again.
     """
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.withColumn("_trim", trimmed(F.col("_text")))
-    d = d.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", GAP)))
-    d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: trimmed(x) != ""))
+    d = d.withColumn("_w", words(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.ltrim(x, F.lit(SPACE)) != ""))
     d = d.select(
         *keep,
         "_w",
