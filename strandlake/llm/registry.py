@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import near_dedup, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
 }
 
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
 }
