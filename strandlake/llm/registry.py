@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality_rules, records
+from . import mixing, near_dedup, packing, quality_rules, records
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_binary_records": records.op7_binary_records,
+    "op9_mixing": mixing.op9_mixing,
     "op10_retrieval_packing": packing.op10_retrieval_packing,
 }
 
