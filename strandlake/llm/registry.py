@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, quality_rules, records
+from . import license_scan, mixing, near_dedup, packing, quality_rules, records
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_binary_records": records.op7_binary_records,
     "op9_mixing": mixing.op9_mixing,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
 }
