@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, near_dedup, packing, quality_rules, records
+from . import license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, records
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_binary_records": records.op7_binary_records,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_retrieval_packing": packing.op10_retrieval_packing,
 }
