@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, records
+from . import license_scan, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, records
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_near_dedup": near_dedup.op6_near_dedup,
