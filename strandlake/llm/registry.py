@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, records, surrogates
+from . import bloom_sketch, license_scan, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, records, surrogates
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op2_bloom_sketch": bloom_sketch.op2_bloom_sketch,
     "op3_surrogates": surrogates.op3_surrogates,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_license_scan": license_scan.op5_license_scan,
