@@ -1,0 +1,3 @@
+"""strandlake: genome and metagenome analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
