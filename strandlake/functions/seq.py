@@ -70,29 +70,30 @@ def slice_strand(seq: Column, start: Column, end: Column, strand: Column) -> Col
 def translate(seq: Column, table: Column) -> Column:
     """Amino acids by the genetic code of number ``table`` (null for an unknown number), trailing stops removed.
 
-    A codon with another letter than ACGTU is X; letters beyond the last whole codon are dropped.
+    A codon with another letter than ACGTU is X; letters beyond the last whole codon are dropped. The codons are cut by
+    one scan, so the work is linear in the length.
     """
-    bases = F.translate(F.upper(seq), "U", "T")
-    n = F.floor(F.length(seq) / 3).cast("int")
+    codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s)(...)"), 1)
     codes = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
-    code = codes[table.cast("int")]
 
-    def amino(i: Column) -> Column:
-        at = F.lit(0)
-        for k in range(3):
-            at = at * 4 + F.nullif(F.instr(F.lit("TCAG"), F.substring(bases, i * 3 + (k + 1), F.lit(1))), F.lit(0)) - 1
-        return F.coalesce(F.substring(code, at + 1, F.lit(1)), F.lit("X"))
+    def with_code(code: Column) -> Column:
+        def amino(codon: Column) -> Column:
+            at = F.lit(0)
+            for k in range(3):
+                at = at * 4 + F.nullif(F.instr(F.lit("TCAG"), F.substring(codon, k + 1, 1)), F.lit(0)) - 1
+            return F.coalesce(F.substring(code, at + 1, F.lit(1)), F.lit("X"))
 
-    codons = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(code.isNotNull() & seq.isNotNull(), F.rtrim(F.array_join(F.transform(codons, amino), ""), F.lit("*")))
+        return F.when(code.isNotNull() & seq.isNotNull(), F.rtrim(F.array_join(F.transform(codons, amino), ""), F.lit("*")))
+
+    return F.get(F.transform(F.array(codes[table.cast("int")]), with_code), F.lit(0))
 
 
 def canonical_kmers(seq: Column, k: int) -> Column:
-    """All canonical k-mers (the greater of a k-mer and its reverse complement) of ACGT letters, in order, upper case."""
-    s = F.upper(seq)
-    n = F.length(s)
-    places = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    parts = F.filter(F.transform(places, lambda i: F.substring(s, i, F.lit(k))), lambda x: ~x.contains("N") & x.rlike("^[ACGT]+$"))
+    """All canonical k-mers (the greater of a k-mer and its reverse complement) of ACGT letters, in order, upper case.
+
+    A lookahead yields every overlapping window in one scan; windows with other letters do not match.
+    """
+    parts = F.regexp_extract_all(F.upper(seq), F.lit(f"(?=([ACGT]{{{k}}}))"), 1)
     return F.transform(parts, lambda x: F.greatest(x, reverse_complement(x)))
 
 

@@ -46,7 +46,7 @@ class Format:
             parts[p] = parts.get(p, 0) + 1
         out = None
         for times in sorted(set(parts.values())):
-            df = spark.read.option("lineSep", self.delimiter).text([p for p, n in parts.items() if n == times])
+            df = spark.read.text([p for p, n in parts.items() if n == times], lineSep=self.delimiter)
             df = df.select(path_of().alias("file_path"), F.col("value").alias("record"))
             df = df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_n") if times > 1 else df
             out = df if out is None else out.unionByName(df)
@@ -84,7 +84,7 @@ class Format:
 
     def load_concatenated(self, spark: SparkSession, pattern: str, skip_malformed: bool = False) -> TypedTable:
         """The output of :func:`concatenate`, with the original paths."""
-        whole = spark.read.option("lineSep", MARK).text(pattern).where(F.trim("value") != "")
+        whole = spark.read.text(pattern, lineSep=MARK).where(F.trim("value") != "")
         parts = F.split("value", "\n", 2)
         body = whole.select(F.get(parts, F.lit(0)).alias("file_path"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("body"))
         return self._table(body.select("file_path", F.explode(F.split("body", literal(self.delimiter))).alias("record")), skip_malformed)
@@ -105,6 +105,6 @@ def normal(path: str) -> str:
 
 def concatenate(spark: SparkSession, pattern: str, output: str, partitions: int | None = None) -> None:
     """Many small files into few text files, each file once, led by its path."""
-    df = spark.read.option("wholetext", True).text(pattern).select(path_of().alias("path"), "value").dropDuplicates(["path"])
+    df = spark.read.text(pattern, wholetext=True).select(path_of().alias("path"), "value").dropDuplicates(["path"])
     df = df.repartition(partitions) if partitions else df
     df.select(F.concat(F.lit(MARK), "path", F.lit("\n"), "value").alias("value")).write.text(output)

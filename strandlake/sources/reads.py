@@ -13,7 +13,7 @@ from ..schema import READS
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of whole files, plain or ``.gz``: a file is one task, so split large ones beforehand, or use
     :func:`fastq_lines` on one record a line."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
     whole = whole.select(lines.alias("l"), F.col("_metadata.file_path").alias("f")).where(F.size("l") >= 4)
     whole = whole.select("f", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.slice("l", i * 4 + 1, F.lit(4)))).alias("n", "r"))
@@ -33,7 +33,7 @@ def write_fastq_lines(reads: DataFrame, path: str, overwrite: bool = False) -> N
 
 def fasta_reads(spark: SparkSession, path: str) -> DataFrame:
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", ""), "\n", 2)
-    d = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "").select(lines.alias("l"))
+    d = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "").select(lines.alias("l"))
     d = d.select(F.get("l", F.lit(0)).alias("name"), F.regexp_replace(F.coalesce(F.get("l", F.lit(1)), F.lit("")), "\n", "").alias("seq"))
     return d.select(F.xxhash64("name", "seq").alias("id"), "name", "seq", F.lit(None).cast("string").alias("plus"), F.lit(None).cast("string").alias("qual"))
 
