@@ -5,8 +5,8 @@ edits share one of the t + 1 even segments of the shorter one, unchanged and har
 
 1. every distinct line gives the t + 1 segment keys (length, segment number, hash) of its own length, and for each length
    from its own down to t less the keys of the substrings that can match a segment (multi-match-aware selection);
-2. lines that share a key are candidates; of each line a 512-bit map of its hashed letter pairs goes along, and pairs
-   whose maps differ in more than 4 bits an edit are turned down without their texts. A hot key is split into cells
+2. lines that share a key are candidates; of each line a 512-bit map of the parities of its hashed letter pairs goes along,
+   and lines whose maps differ in more than 4 bits an edit are turned down without their texts. A hot key is split into cells
    of bounded size; a cell returns only pairs that pass;
 3. the texts of the remaining lines are fetched through a Bloom filter of bounded size and an exact join, and each pair is
    verified by a banded bit-parallel edit distance.
@@ -80,18 +80,18 @@ class Lines:
         return mix((self.sums[y] - self.sums[x]) * self.down[x])
 
     def maps(self, rows: np.ndarray) -> np.ndarray:
-        """512-bit maps of hashed code point pairs, packed, of the lines ``rows``."""
+        """512-bit maps, packed, of the lines ``rows``: of each hashed pair of code points, whether it occurs an odd number of
+        times. An edit takes away two pairs at most and adds two, so it flips four bits at most."""
         if not len(self.cp) or len(self.cp) < 3:
             return np.zeros((len(rows), MAP_BITS // 8), np.uint8)
         i = np.arange(len(self.cp) - 1)
         point = mix((self.sums[self.cp[i + 1]] - self.sums[self.cp[i]]) * self.down[self.cp[i]])
         pair = ((point[:-1] * U64(3) + (point[1:] << U64(1))) * U64(0x9E3779B97F4A7C15) >> U64(55)).astype(np.int64)
-        bits = np.zeros((len(rows), MAP_BITS), bool)
         n = np.maximum(self.length[rows] - 1, 0)
         before = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(self.a[rows] - before[:-1], n) + np.arange(before[-1])
-        bits[np.repeat(np.arange(len(rows)), n), pair[at]] = True
-        return np.packbits(bits, axis=1)
+        counts = np.bincount(np.repeat(np.arange(len(rows)) * MAP_BITS, n) + pair[at], minlength=len(rows) * MAP_BITS)
+        return np.packbits((counts & 1).astype(bool).reshape(len(rows), MAP_BITS), axis=1)
 
 
 def segments(length: np.ndarray, i: int, t: int) -> tuple[np.ndarray, np.ndarray]:
