@@ -106,7 +106,7 @@ def test_vcf(spark, tmp_path):
     assert rows["1"].samples == ["0|1", "."] and rows["2"].samples == [] and rows["2"].format is None
 
 
-GBK = """LOCUS       TEST1                 48 bp    DNA     linear   BCT 01-JAN-2020
+GBK = '''LOCUS       TEST1                 48 bp    DNA     linear   BCT 01-JAN-2020
 DEFINITION  A small
             record.
 ACCESSION   TEST1
@@ -136,7 +136,7 @@ FEATURES             Location/Qualifiers
 ORIGIN
         1 atgcatgcat gcatgcatgc atgcatgcat gcatgcatgc atgcatgc
 //
-"""
+'''
 
 
 def test_genbank(spark, tmp_path):
