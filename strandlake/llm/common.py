@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,19 +69,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for null or blank ones."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def shl(x: Column, n: Column) -> Column:
     return F.call_function("shiftleft", x, n)
 
