@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import slice_strand  # noqa: F401  re-exported for notebooks
 from ..operators import annotation as A
 from ..operators import features as V
 from ..table import Cds, Clusters, Nucleotides, Relation, TypedTable
