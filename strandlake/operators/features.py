@@ -84,8 +84,8 @@ def centroids(vecs: DataFrame, threshold: float = 0.4, parts: int = 8, id_: str
 def nearest(vecs: DataFrame, centres: DataFrame, id_: str = "bgc_id", centre_id: str = "gcf_id") -> DataFrame:
     """id, nearest centre, Euclidean distance of the normalised vectors (ties: the smallest centre id).
 
-    |a - b|^2 = |a|^2 + |b|^2 - 2 a.b: the products come from an equi-join on shared features, summed by pair; a vector that
-    shares none with any centre takes the centre of least norm.
+    |a - b|^2 = |a|^2 + |b|^2 - 2 a.b: the products come from an equi-join on shared features, summed by pair; the centre of
+    least norm stands for those that share none (exact for vectors without negative values, and for dense ones).
     """
     def long(df: DataFrame, i: str, name: str) -> DataFrame:
         return df.select(F.col(i).alias(name), F.explode("features").alias("key", name + "_v"))
@@ -96,6 +96,6 @@ def nearest(vecs: DataFrame, centres: DataFrame, id_: str = "bgc_id", centre_id:
     dots = long(v, id_, "a").join(long(centres, centre_id, "b"), "key").groupBy("a", "b").agg(F.sum(F.col("a_v") * F.col("b_v")).alias("ab"))
     near = dots.join(nv, "a").join(nc, "b").select("a", "b", F.sqrt(F.greatest(F.lit(0.0), F.col("na") + F.col("nb") - 2 * F.col("ab"))).alias("dist"))
     least = nc.agg(F.min_by("b", F.struct("nb", "b")).alias("b"), F.min("nb").alias("nb"))
-    alone = nv.join(F.broadcast(least)).select("a", "b", F.sqrt(F.col("na") + F.col("nb")).alias("dist"))
+    alone = nv.join(F.broadcast(least)).select("a", "b", F.sqrt(F.col("na") + F.col("nb")).alias("dist")).join(near.select("a", "b"), ["a", "b"], "left_anti")
     best = near.unionByName(alone).withColumn("dist", F.round("dist", 9)).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m"))
     return best.select(F.col("a").alias(id_), F.col("m.b").alias(centre_id), F.col("m.dist").alias("dist"))
