@@ -190,4 +190,5 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the good and not toxic labelled documents, the background all documents."""
     docs = documents(spark, sf_dir)
     good = labels(spark, sf_dir).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0")
-    return score(docs, docs.join(good, "doc_id", "left_semi").select("text"))
+    # the labels grow with the corpus, so they are never broadcast: the join is the same at every size
+    return score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"))
