@@ -16,7 +16,7 @@ alike, one without and one with are not.
 
 Nulls: a null text is empty. The next document is the next distinct (doc_id, text) in descending doc_id, equal doc_ids in
 the order of their texts' hash, null doc_ids last; a repeated row has the same next as its twin. One document is its own
-next. An empty table gives an empty result. Extra columns are ignored.
+next. The smallest 64-bit number is no doc_id: it stands for null. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def as_text(cells: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), _long(-(1 << 63))).alias("k"), F.xxhash64(text).alias("th"))
+    return docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), _long(-(1 << 63))).alias("k"), F.xxhash64(text).alias("th"))
 
 
 def predecessors(keyed: DataFrame, parts: int) -> DataFrame:
@@ -145,7 +145,7 @@ def predecessors(keyed: DataFrame, parts: int) -> DataFrame:
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs, n_changed.
 
-    Texts are shuffled once, by document; then each document sends what its predecessor needs of it: the code points that
+    Texts are shuffled once, by document (both uses read the same columns, so Spark reuses the exchange); then each document sends what its predecessor needs of it: the code points that
     go into the edited text, and its digests.
     """
     keyed = _keyed(docs)
@@ -155,7 +155,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     sent = sent.groupBy("k", "th").agg(F.first("begin").alias("begin"), F.first("next_d").alias("next_d"))
     d = keyed.join(sent, ["k", "th"]).withColumn("n_chars", F.length("text").cast("long"))
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("begin")))
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("e"), "next_d")
+    d = d.select(F.nullif("k", _long(-(1 << 63))).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("e"), "next_d")
     d = d.withColumns({"fd": sketch(F.col("d")), "fe": sketch(F.col("e")), "fn": sketch(F.col("next_d"))})
     d = d.withColumns({"de": difference(F.col("d"), F.col("e"), F.col("fd"), F.col("fe")), "dn": difference(F.col("d"), F.col("next_d"), F.col("fd"), F.col("fn"))})
     return d.select(
