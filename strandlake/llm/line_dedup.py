@@ -177,7 +177,7 @@ def _key_rows(docs: DataFrame, p: LineDedup) -> DataFrame:
                 key, row, own = keys_of(lines, rows, t, least)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.hash[row].view(np.int64)), pa.array(own)], ["key", "h", "own"])
 
-    return docs.select("text").mapInArrow(run, "key long, h long, own boolean").groupBy("key", "h").agg(F.max("own").alias("own"))
+    return docs.select("text").mapInArrow(run, "key long, h long, own boolean")
 
 
 def _line_rows(docs: DataFrame, wanted, what: str) -> DataFrame:
@@ -249,8 +249,10 @@ def edit_links(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
     """(u, v), u < v: hashes of all pairs of different lines within the threshold."""
     p = params or LineDedup()
     key = Window.partitionBy("key")
-    rows = _key_rows(docs, p).withColumn("members", F.count(F.lit(1)).over(key)).withColumn("_any", F.max("own").over(key))
-    rows = cut(rows.where("members > 1 and _any").drop("_any"))
+    # one shuffle, by key: most keys have one line and end here; only what is left is freed of repeats and counted
+    rows = _key_rows(docs, p).withColumns({"_low": F.min("h").over(key), "_high": F.max("h").over(key), "_any": F.max("own").over(key)})
+    rows = rows.where("_low <> _high and _any").groupBy("key", "h").agg(F.max("own").alias("own"))
+    rows = cut(rows.withColumn("members", F.count(F.lit(1)).over(key)))
     maps = _line_rows(docs, bloom(rows.select("h").distinct()), "map")
     met = _cells(rows.join(maps, "h"), p)
     most = 4 * p.threshold
