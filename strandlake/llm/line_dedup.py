@@ -44,6 +44,8 @@ class LineDedup:
 
 
 MAP_BITS = 512
+#: Bytes of text worked on at once: every byte takes some twenty words of scratch here.
+BLOCK = 1 << 20
 
 
 class Lines:
@@ -168,7 +170,7 @@ def _key_rows(docs: DataFrame, p: LineDedup) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0)):
+            for _, data, offsets in blocks(batch.column(0), BLOCK):
                 lines = Lines(data, offsets)
                 rows = np.flatnonzero(lines.length >= least)
                 if not len(rows):
@@ -186,7 +188,7 @@ def _line_rows(docs: DataFrame, wanted, what: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0)):
+            for _, data, offsets in blocks(batch.column(0), BLOCK):
                 lines = Lines(data, offsets)
                 rows = np.flatnonzero(shared.value.may_have(lines.hash)) if len(lines.hash) else np.zeros(0, int)
                 if not len(rows):
@@ -274,7 +276,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, data, offsets in blocks(batch.column(2)):
+            for i, data, offsets in blocks(batch.column(2), BLOCK):
                 lines = Lines(data, offsets)
                 at = pa.array(lines.owner + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64))], ["doc_id", "dk", "line", "h"])
