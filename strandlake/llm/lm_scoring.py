@@ -1,18 +1,20 @@
 """Operator 1: language-model scoring by cross-entropy difference.
 
-Two bigram models, one of a target sample and one of the background corpus, share a vocabulary: the ``vocabulary`` most
-frequent words of all texts (A-Z lower-cased), number 0 standing for every other word and for the start of a text. Both
-have the same form, P(b|a) = lam * c(a b) / c(a) + (1 - lam) * (c(b) + 1) / (c + V), with c(a) = 0 giving the second term
-alone. A document's score is its mean loss under the target model less that under the background model: low scores are
-like the target.
+Two bigram models, one of a target sample and one of the background corpus, over every word of both (A-Z lower-cased);
+symbol 0 is the start of a text. Both have the same form, P(b|a) = lam * c(a b) / c(a) + (1 - lam) * (c(b) + 1) / (c + V),
+with c(a) = 0 giving the second term alone. A document's score is its mean loss under the target model less that under
+the background model: low scores are like the target.
 
-Words are counted over all texts: each task adds up its own, a shuffle by word adds the tasks' sums. Bigrams are counted
-the same way, in rows by their first word. Only the models are broadcast: two tables of at most vocabulary^2 half-precision
-losses (32 MB each at 4096), whatever the corpus holds.
+The models are one table of counts by key (of a bigram, of a word, of a word as first of a bigram), dealt by the key's
+hash; it grows with the corpus and is never collected nor broadcast. Documents are dealt to groups of about
+``group_bytes`` of text by a hash. A group counts its own keys; sums over each key's groups are the model, and those that differ
+from a group's own counts go back to it, where the texts are scored. A key has one row for each group at most, however
+hot it is.
 
 Nulls and blank texts have no tokens and null losses and score. Target rows need not be in the corpus. An empty target
-gives the add-one model. Repeated rows count again and are scored each. Equal counts at the vocabulary's end go by the word's
-hash. Extra columns are ignored. An empty table gives an empty result.
+gives the add-one model. Repeated rows count again and are scored each. Words and bigrams are identified by 62 bits of
+hash. Extra columns are ignored. An empty table gives an empty result. If ``vocabulary`` is given, only that many symbols
+less one are words (the most frequent of the background, equal counts by the word's hash) and all others are symbol 0.
 """
 
 from __future__ import annotations
@@ -22,19 +24,30 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, labels
-from .textops import U64, over_texts, span_hashes, spans
+from .common import documents, labels
+from .textops import U64, blocks, mix, over_texts, span_hashes, spans
 
 
 @dataclass(frozen=True)
 class Bigrams:
-    vocabulary: int = 4096
+    #: None: every word is a symbol.
+    vocabulary: int | None = None
     lam: float = 0.7
-    #: Distinct words or bigrams that a task adds up before it hands them on.
+    #: Distinct words that a task adds up before it hands them on.
     held: int = 1_000_000
+    group_bytes: int = 8 << 20
+
+
+#: The low two bits of a key tell its kind.
+PAIR, SINGLE, HEAD = U64(0), U64(1), U64(2)
+_REST = ~U64(3)
+#: What a row of a group is: a document to score, a text of the target or of a background of its own, the doc_id of a
+#: document that is in the target.
+DOC, TARGET, BACKGROUND, LABEL = range(4)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +56,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def word_counts(texts: DataFrame, p: Bigrams) -> DataFrame:
-    """word (its hash), n: of every word of all texts."""
+    """word (its hash), n: of every word of all texts, added up within tasks only."""
 
     def run(batches):
         keys, counts, held = [], [], 0
@@ -74,121 +87,109 @@ def word_counts(texts: DataFrame, p: Bigrams) -> DataFrame:
         if keys:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Word hashes to numbers from 1 on; other words are 0."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.sort(hashes.view(U64)) if len(hashes) else np.zeros(0, U64)
-        self.size = len(self.sorted) + 1
+    return texts.select("text").mapInArrow(run, "word long, n long")
 
-    def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of the texts, each text led by a 0, and how many lie before each text."""
-        starts, ends, first = spans(data, offsets)
-        h = span_hashes(data, starts, ends, lower=True)
-        at = np.minimum(np.searchsorted(self.sorted, h), max(0, self.size - 2))
-        number = np.where(self.sorted[at] == h, at + 1, 0) if self.size > 1 else np.zeros(len(h), np.int64)
-        n = len(offsets) - 1
-        led = first + np.arange(n + 1)
-        out = np.zeros(len(h) + n, np.int64)
-        keep = np.ones(len(out), bool)
-        keep[led[:-1]] = False
-        out[keep] = number
-        return out, led
 
+def sizes(rows: DataFrame) -> DataFrame:
+    """doc_id, kind, n: the words of each text."""
 
-def bigram_counts(texts: DataFrame, vocabulary, size: int) -> DataFrame:
-    """a, b, n: of every bigram of numbers of all texts."""
-
-    def run(batches):
-        table = np.zeros(size * size, np.int64)
-        for _ in over_texts(lambda batch, i, data, offsets: count(table, data, offsets), "text")(batches):
-            pass
-        some = np.flatnonzero(table)
-        for low in range(0, len(some), 1 << 18):
-            s = some[low : low + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array((s // size).astype(np.int32)), pa.array((s % size).astype(np.int32)), pa.array(table[s])], ["a", "b", "n"])
-
-    def count(table, data, offsets):
-        number, led = vocabulary.value.numbers(data, offsets)
-        code = number[:-1] * size + number[1:]
-        inner = np.ones(len(code), bool)
-        inner[led[1:-1] - 1] = False  # no bigram crosses two texts
-        k, n = np.unique(code[inner], return_counts=True)
-        table[k] += n
-
-    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def losses(a_counts: np.ndarray, single: np.ndarray, lam: float) -> np.ndarray:
-    """-ln P(b|a) for one a and all b: ``a_counts`` of (a b), ``single`` of b."""
-    base = (single + 1) / (single.sum() + len(single))
-    n = a_counts.sum()
-    return -np.log(lam * a_counts / n + (1 - lam) * base) if n else -np.log(base)
-
-
-def models(target: DataFrame, background: DataFrame, p: Bigrams):
-    """The shared vocabulary and the two tables of losses (vocabulary x vocabulary, half precision)."""
-    spark = background.sparkSession
-    top = word_counts(background, p).orderBy(F.col("n").desc(), "word").limit(p.vocabulary - 1).select("word")
-    vocabulary = Vocabulary(np.array([r.word for r in top.collect()], np.int64))  # at most ``vocabulary`` words
-    size, shared = vocabulary.size, spark.sparkContext.broadcast(vocabulary)
-    counts = bigram_counts(target, shared, size).withColumn("target", F.lit(True)).unionByName(bigram_counts(background, shared, size).withColumn("target", F.lit(False)))
-    counts = cut(counts)
-    single = np.zeros((2, size), np.int64)
-    for r in counts.groupBy("target", "b").agg(F.sum("n").alias("n")).toLocalIterator():  # 2 x vocabulary rows
-        single[int(not r.target), r.b] = r.n
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": [pdf.a.iloc[0]]}
-        for k, name in enumerate(("target", "background")):
-            own = pdf[pdf.target == (k == 0)]
-            n = np.zeros(size, np.int64)
-            n[own.b.to_numpy()] = own.n.to_numpy()
-            out[name] = [losses(n, single[k], p.lam).astype(np.float16).tobytes()]
-        return pd.DataFrame(out)
-
-    tables = [np.repeat(losses(np.zeros(size), single[k], p.lam).astype(np.float16)[None, :], size, 0) for k in (0, 1)]
-    for r in counts.groupBy("a").applyInPandas(rows, "a int, target binary, background binary").toLocalIterator():  # a row for each word
-        tables[0][r.a], tables[1][r.a] = np.frombuffer(r.target, np.float16), np.frombuffer(r.background, np.float16)
-    return shared, tables
+    def block(batch, i, data, offsets):
+        n = np.diff(spans(data, offsets)[2])
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), batch.column(1).slice(i, len(n)), pa.array(n, pa.int64())], ["doc_id", "kind", "n"])
+
+    return rows.select("doc_id", "kind", "text").mapInArrow(over_texts(block, "text"), "doc_id long, kind int, n long")
+
+
+def bigrams(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each bigram, of its second word and of its first (three rows), and the number of bigrams of each text."""
+    starts, ends, first = spans(data, offsets)
+    b = span_hashes(data, starts, ends, lower=True)
+    if known is not None:
+        b = np.where(np.isin(b, known), b, U64(0))
+    a = np.concatenate((np.zeros(1, U64), b[:-1]))[: len(b)]
+    n = np.diff(first)
+    a[first[:-1][n > 0]] = 0
+    pair = mix(mix(a + U64(0x5851F42D4C957F2D)) * U64(0xD6E8FEB86659FD93) + b)
+    return np.stack(((pair & _REST) | PAIR, (b & _REST) | SINGLE, (a & _REST) | HEAD)), n
+
+
+def _group(table: pa.Table, known, own: bool):
+    """Distinct keys of a group's texts, how often they occur in background and target texts, the keys' numbers (as the
+    three rows of :func:`bigrams`), bigrams of each row."""
+    parts = [bigrams(data, offsets, known) for _, data, offsets in blocks(table.column("text"))]
+    code, unique = pd.factorize(np.concatenate([k for k, _ in parts], axis=1).ravel())
+    code, n = code.reshape(3, -1), np.concatenate([n for _, n in parts])
+    kind, ids = table.column("kind").to_numpy(), table.column("doc_id")
+    labelled = pc.is_in(ids, value_set=ids.filter(pa.array(kind == LABEL)).combine_chunks().drop_null()).to_numpy()
+    counts = []
+    for counted in ((kind == (DOC if own else BACKGROUND)), (kind == TARGET) | (kind == DOC) & labelled):
+        counts.append(np.bincount(code[:, np.repeat(counted, n)].ravel(), minlength=len(unique)).astype(np.int64))
+    return unique, counts, code, n
 
 
 def score(docs: DataFrame, target: DataFrame, params: Bigrams | None = None, background: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference) for each row of ``docs``.
 
-    ``target``: texts of the target domain; ``background``: texts of the corpus, ``docs`` if not given.
+    ``target``: texts of the target domain, or (without a column ``text``) doc_ids of those of ``docs`` that make it;
+    ``background``: texts of the corpus, ``docs`` if not given.
     """
     p = params or Bigrams()
-    vocabulary, tables = models(target, background if background is not None else docs, p)
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    def block(batch, i, data, offsets):
-        number, led = vocabulary.value.numbers(data, offsets)
-        n = np.diff(led) - 1
-        some, inner = np.flatnonzero(n), np.ones(max(0, len(number) - 1), bool)
-        inner[led[1:-1] - 1] = False
-        a, b = number[:-1][inner], number[1:][inner]
-        first = led[:-1] - np.arange(len(n))
-        out = [batch.column(0).slice(i, len(n)), pa.array(n)]
-        means = []
-        for table in shared.value:
+    own, by_id = background is None, "text" not in target.columns
+    long, none = F.col("doc_id").cast("long").alias("doc_id"), F.lit(None)
+    rows = docs.select(long, "text", F.lit(DOC).alias("kind"))
+    if not by_id:
+        rows = rows.union(target.select(none.cast("long"), "text", F.lit(TARGET)))
+    if not own:
+        rows = rows.union(background.select(none.cast("long"), "text", F.lit(BACKGROUND)))
+    size = sizes(rows)
+    corpus, aimed = size.where(F.col("kind") == (DOC if own else BACKGROUND)), size.where(F.col("kind") == TARGET)
+    if by_id:
+        aimed = size.where(F.col("kind") == DOC).join(target.select(long).hint("merge"), "doc_id", "left_semi")
+    background_n, target_n = (x.agg(F.sum("n")).first()[0] or 0 for x in (corpus, aimed))
+    known = None
+    if p.vocabulary is None:
+        modelled = rows if own or by_id else rows.where(F.col("kind") != DOC)
+        symbols = 1 + word_counts(modelled, p).select(F.col("word").bitwiseAND(F.lit(-4)).alias("word")).distinct().count()
+    else:
+        top = word_counts(docs if own else background, p).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(p.vocabulary - 1)
+        known = np.array([r.word for r in top.collect()], np.int64).view(U64)  # as many as the caller asks for
+        symbols = 1 + len(known)
+
+    bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, lam = max(1, -(-bytes_ // p.group_bytes)), p.lam
+    if by_id:
+        rows = rows.union(target.select(long, none.cast("string"), F.lit(LABEL)))
+    dealt = rows.withColumn("g", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(groups)).cast("int"))
+
+    def count(table: pa.Table) -> pa.Table:
+        key, (n, t), _, _ = _group(table, known, own)
+        return pa.table({"g": np.full(len(key), table.column("g")[0].as_py(), np.int32), "key": key.view(np.int64), "n": n, "t": t})
+
+    over = Window.partitionBy("key")
+    counts = dealt.groupBy("g").applyInArrow(count, "g int, key long, n long, t long")
+    counts = counts.withColumns({"all_n": F.sum("n").over(over), "all_t": F.sum("t").over(over)})
+    model = counts.where("all_n <> n or all_t <> t").select("g", "key", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
+
+    def losses(table: pa.Table, model: pa.Table) -> pa.Table:
+        key, counts, (pair, word, head), n = _group(table, known, own)
+        at = pd.Index(key).get_indexer(model.column("key").to_numpy().view(U64))
+        some, first, out = np.flatnonzero(n), np.concatenate(([0], np.cumsum(n)))[:-1], []
+        for name, c, total in zip(("t", "n"), counts[::-1], (target_n, background_n), strict=True):
+            c[at] = model.column(name).to_numpy()
             mean = np.full(len(n), np.nan)
             if len(some):
-                mean[some] = np.add.reduceat(table[a, b].astype(np.float64), first[some]) / n[some]
-            means.append(mean)
-        for m in (*means, means[0] - means[1]):
-            out.append(pa.array(m, pa.float64(), mask=n == 0))
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                base, before = (c[word] + 1) / (total + symbols), c[head]
+                prob = np.where(before > 0, lam * c[pair] / np.maximum(before, 1) + (1 - lam) * base, base)
+                mean[some] = np.add.reduceat(-np.log(prob), first[some]) / n[some]
+            out.append(mean)
+        columns = [table.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(m, pa.float64(), mask=n == 0) for m in (*out, out[0] - out[1]))]
+        return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]).filter(pc.equal(table.column("kind"), DOC))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_texts(block, "text"), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return dealt.groupBy("g").cogroup(model.groupBy("g")).applyInArrow(losses, schema)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the good and not toxic labelled documents, the background all documents."""
-    docs = documents(spark, sf_dir)
     good = labels(spark, sf_dir).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0")
-    # the labels grow with the corpus, so they are never broadcast: the join is the same at every size
-    return score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"))
+    return score(documents(spark, sf_dir), good.select("doc_id"))

@@ -80,3 +80,27 @@ def test_nasty(spark):
     assert L.score(docs, docs.select("text")).count() == docs.count()
     assert L.score(docs, nothing(spark).select("text")).where("score is null").count() == 3
     assert L.score(nothing(spark), docs.select("text")).count() == 0
+
+
+def test_every_word_is_a_symbol(spark):
+    """10000 words that occur four times each, more than any fixed vocabulary would keep beside the frequent ones."""
+    docs = [(i, " ".join(f"w{(i * 50 + k) % 10000}" for k in range(100))) for i in range(400)]
+    target = [t for d, t in docs if d % 5 == 0]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    p = L.Bigrams(group_bytes=30_000)
+    got = {r.doc_id: r for r in L.score(frame, spark.createDataFrame([(t,) for t in target], "text string"), p).collect()}
+    assert len(got) == 400
+    by_id = L.score(frame, frame.where("doc_id % 5 = 0").select("doc_id"), p).collect()
+    assert all(r.score == pytest.approx(got[r.doc_id].score, abs=1e-9) for r in by_id) and len(by_id) == 400
+    for d, n, x, y in literal(docs, target, L.Bigrams(vocabulary=10**6)):
+        assert got[d].n_tokens == n and got[d].target_loss == pytest.approx(x, rel=1e-9) and got[d].background_loss == pytest.approx(y, rel=1e-9)
+
+
+def test_own_background(spark):
+    """Texts outside the background are scored by its counts alone; their unseen words have the add-one loss."""
+    docs, rest = [(1, "a b new"), (2, None)], ["a b", "a c", "b a"]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = spark.createDataFrame([(t,) for t in rest], "text string")
+    (r,) = L.score(frame, texts, background=texts).where("doc_id = 1").collect()
+    seen = [0.7 * 2 / 3 + 0.3 * 4 / 10, 0.7 * 1 / 2 + 0.3 * 3 / 10, 0.7 * 0 + 0.3 * 1 / 10]
+    assert r.background_loss == pytest.approx(-sum(map(math.log, seen)) / 3) and r.score == 0
