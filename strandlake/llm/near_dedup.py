@@ -12,6 +12,7 @@
 
 With the default 30 bands of 5 rows a pair of similarity 0.85 shares no band with probability 2e-8, and is turned down by
 its estimate (0.85 - 0.14) with about 1e-6; both fall steeply above 0.85.
+The pipeline's stage links from 0.8 on: a pair at 0.8 shares no band with probability 7e-6.
 
 Nulls and blank texts have no shingles and are linked with nothing; fewer words than ``k`` give one shingle. A null
 doc_id is never linked. Rows that share a doc_id are the same document id: what links one links the other. Extra columns
@@ -51,6 +52,10 @@ class NearDedup:
         return self.bands * self.rows
 
 
+#: Of the pipeline; its margin is wider, as an estimate spreads more at 0.8.
+STAGE = NearDedup(percent=80, margin=0.18)
+
+
 def _multipliers(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -260,9 +265,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of smallest doc_id."""
+    """One document of each group of near copies (similarity 0.8 or more) stays: the one of smallest doc_id."""
     (key,) = fresh(docs, "_key")
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key))
+    gone = near_duplicates(docs, STAGE).where("not kept").select(F.col("doc_id").alias(key))
     return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
