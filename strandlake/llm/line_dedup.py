@@ -11,8 +11,9 @@ edits share one of the t + 1 even segments of the shorter one, unchanged and har
 3. the texts of the remaining lines are fetched through a Bloom filter of bounded size and an exact join, and each pair is
    verified by a banded bit-parallel edit distance.
 
-Classes are connected components of links. Of a class, a document keeps its first line; a class found in ``min_docs``
-documents or more is boilerplate and stays only in the first of them (by doc_id). Blank lines are never dropped.
+Classes are connected components of links. Of a class, a document keeps its first line. A class that has a line of
+``long_chars`` code points or more stays only in the first of its documents (by doc_id); one of shorter lines is boilerplate,
+and does so too, if found in ``min_docs`` documents or more. Blank lines are never dropped.
 
 Nulls: a null text has no lines and stays null; null doc_ids come first in the order. Lines are identified by a 64-bit
 hash. Equal rows have equal results; rows that share a doc_id are documents of their own, ordered by their texts' hash.
@@ -40,6 +41,8 @@ class LineDedup:
     threshold: int = 2
     min_chars: int = 24
     min_docs: int = 8
+    #: Lines of over 50 words have 101 code points at least, wrapped lines of 70 to 80 columns mostly 64 or more.
+    long_chars: int = 64
     cell: int = 512
 
 
@@ -272,22 +275,23 @@ def edit_links(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, line, h: every non-blank line; ``dk`` (a hash of the text) must be a column of ``docs``."""
+    """doc_id, dk, line, h, size (code points): every non-blank line; ``dk`` (a hash of the text) must be a column of ``docs``."""
 
     def run(batches):
         for batch in batches:
             for i, data, offsets in blocks(batch.column(2), BLOCK):
                 lines = Lines(data, offsets)
                 at = pa.array(lines.owner + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64))], ["doc_id", "dk", "line", "h"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)), pa.array(lines.length.astype(np.int32))], ["doc_id", "dk", "line", "h", "size"])
 
-    return docs.select("doc_id", "dk", "text").mapInArrow(run, "doc_id long, dk long, line int, h long")
+    return docs.select("doc_id", "dk", "text").mapInArrow(run, "doc_id long, dk long, line int, h long, size int")
 
 
 def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
-    """All columns of ``docs`` with the text deduplicated, and n_lines, n_dropped, n_linked, n_links of each row.
+    """All columns of ``docs`` with the text deduplicated, and n_lines, n_dropped, n_linked, n_links, n_shared of each row.
 
-    n_linked: its lines that are linked with a different line of the corpus; n_links: the links of these lines.
+    n_linked: its lines that are linked with a different line of the corpus; n_links: the links of these lines;
+    n_shared: its lines whose class is found in other documents too.
     """
     p = params or LineDedup()
     d = docs.withColumn("dk", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -296,17 +300,18 @@ def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
     degree = links.select(F.col("u").alias("h")).union(links.select(F.col("v").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     of_line = cut(comp.join(degree, comp["id"] == degree["h"]).select("id", "component", "links"))
     rows = occurrences(d.select(F.col("doc_id").cast("long").alias("doc_id"), "dk", "text").distinct())
-    rows = rows.join(of_line, rows["h"] == of_line["id"], "left").select("doc_id", "dk", "line", F.coalesce("component", "h").alias("cls"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = rows.join(of_line, rows["h"] == of_line["id"], "left").select("doc_id", "dk", "line", "size", F.coalesce("component", "h").alias("cls"), F.coalesce("links", F.lit(0)).alias("links"))
     # one row for each class of a document, then for each class: how many documents, and the first
-    per_doc = stash(rows.groupBy("cls", "doc_id", "dk").agg(F.min("line").alias("keep"), F.collect_list("line").alias("lines"), F.count_if(F.col("links") > 0).alias("linked"), F.sum("links").alias("links")))
+    per_doc = stash(rows.groupBy("cls", "doc_id", "dk").agg(F.min("line").alias("keep"), F.collect_list("line").alias("lines"), F.count_if(F.col("links") > 0).alias("linked"), F.sum("links").alias("links"), F.max("size").alias("size")))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "dk")
-    common = per_doc.groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= p.min_docs)
-    common = cut(common.select(F.col("cls").alias("_cls"), "first"))
+    common = per_doc.groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(order).alias("first"), F.max("size").alias("size")).where("docs > 1")
+    once = (F.col("docs") >= p.min_docs) | (F.col("size") >= p.long_chars)
+    common = cut(common.select(F.col("cls").alias("_cls"), F.when(once, F.col("first")).alias("first")))
     met = per_doc.join(common, F.col("cls") == F.col("_cls"), "left")
     stays = F.col("first").isNull() | (F.col("first") == order)
     met = met.withColumn("drop", F.filter("lines", lambda x: ~stays | (x != F.col("keep"))))
     per = met.groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk")).agg(
-        F.sum(F.size("lines")).alias("n_lines"), F.sum("linked").alias("n_linked"), F.sum("links").alias("n_links"), F.flatten(F.collect_list(F.when(F.size("drop") > 0, F.col("drop")))).alias("_drop")
+        F.sum(F.size("lines")).alias("n_lines"), F.sum("linked").alias("n_linked"), F.sum("links").alias("n_links"), F.sum(F.when(F.col("_cls").isNotNull(), F.size("lines"))).alias("n_shared"), F.flatten(F.collect_list(F.when(F.size("drop") > 0, F.col("drop")))).alias("_drop")
     )
     out = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dk") == F.col("_dk")), "left")
 
@@ -323,7 +328,7 @@ def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     text = F.when(F.size("_drop") > 0, without("text", "_drop")).otherwise(F.col("text")).alias("text")
     plain = [text if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*plain, zero("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), zero("n_linked"), zero("n_links"))
+    return out.select(*plain, zero("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), zero("n_linked"), zero("n_links"), zero("n_shared"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

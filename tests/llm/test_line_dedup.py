@@ -111,3 +111,12 @@ def test_letter_maps_bound_edits():
         if len(lines.hash) == 2:
             x, y = lines.maps(np.array([0, 1])).view(np.uint64)
             assert np.bitwise_count(x ^ y).sum() <= 8
+
+
+def test_long_lines_stay_once(spark):
+    """A passage of 60 words in two documents, once with an edit, stays in the first; a short line in both stays and is counted."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = [(1, f"one\n{passage}\nshort line"), (2, f"two\n{passage}\nshort line"), (3, f"three\n{passage}!"), (4, "four")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped, r.n_shared) for r in L.dedup(docs).collect()}
+    assert got == {1: (texts[0][1], 0, 2), 2: ("two\nshort line", 1, 2), 3: ("three", 1, 1), 4: ("four", 0, 0)}
