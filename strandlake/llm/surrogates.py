@@ -6,7 +6,10 @@ personal names. Every distinct entity of the corpus gets one replacement, drawn
 * letters become letters of the same script and case, digits digits, everything else stays (the top-level domain, the country
   code, a card's first digit and a secret's keyword too); IP octets keep their number of digits; a card number that
   passes the Luhn test has a replacement that passes it; hexadecimal secrets stay hexadecimal;
-* a name gets a given name of the same gender and script and a surname of the same script.
+* a name gets a given name of the same gender and script and a surname of the same script: a listed one at the first
+  ``LISTED`` attempts, then one spelled with letters of the script, so that replacements never run out.
+
+Names are found by the listed given names, followed by any capitalised word; names with other given names are not found.
 
 Coreference and distinctness: the replacement is a function of the entity alone; a check over all distinct entities draws
 again (with the next attempt number) for any whose replacement is another's, or is itself an entity of the corpus, until
@@ -115,12 +118,22 @@ def _phone(entity: Column, seed: Column) -> Column:
     return F.concat(country, F.regexp_replace(rest, F.concat(F.lit("^([^0-9]*)"), area), F.concat(F.lit("$1"), (2 + draw(seed, F.lit(-1), 8)).cast("string"))))
 
 
-def _name(entity: Column, seed: Column) -> Column:
+#: Attempts at which a name's replacement has a listed surname.
+LISTED = 4
+#: Upper and lower case letters of a script, and how many letters a spelled surname has (26^10 surnames, 24^10, 28^10).
+LETTERS = {"latin": (ALPHABETS[1], ALPHABETS[0]), "cyrillic": (ALPHABETS[6], ALPHABETS[5]), "greek": (ALPHABETS[8], ALPHABETS[7])}
+SPELLED = 10
+
+
+def _name(entity: Column, seed: Column, attempt: Column) -> Column:
     given = F.substring_index(entity, " ", 1)
     out = F.lit(None).cast("string")
     for (script, _), names in GIVEN.items():
         pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), draw(seed, F.lit(i), len(values)) + 1)
-        out = F.when(given.isin(names), F.concat_ws(" ", pick(names, 0), pick(SURNAMES[script], 1))).otherwise(out)
+        upper, lower = LETTERS[script]
+        new = spelled(F.lit(upper[0] + lower[0] * (SPELLED - 1)), seed, [upper, lower])
+        surname = F.when(attempt < LISTED, pick(SURNAMES[script], 1)).otherwise(new)
+        out = F.when(given.isin(names), F.concat_ws(" ", pick(names, 0), surname)).otherwise(out)
     return out
 
 
@@ -135,7 +148,7 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
         value = F.substring(entity, F.length(word) + 1, F.length(entity))
         secret = F.concat(word, F.when(value.rlike("^[0-9a-f]+$"), spelled(value, s, ["abcdef", ALPHABETS[2]])).otherwise(spelled(value, s, ALPHABETS[:3])))
         access = F.concat(F.lit("AKIA"), spelled(F.substring(entity, 5, 16), s, ALPHABETS[1:3]))
-        return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "phone", _phone(entity, s)).when(kind == "card", _card(entity, s)).when(kind == "ip", _ip(entity, s)).otherwise(_name(entity, s))
+        return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "phone", _phone(entity, s)).when(kind == "card", _card(entity, s)).when(kind == "ip", _ip(entity, s)).otherwise(_name(entity, s, attempt))
 
     return let(seed, of)
 

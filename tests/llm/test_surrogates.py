@@ -81,3 +81,13 @@ def test_query_leaves_no_entity(spark, sf):
         assert all(e not in r.text for e in old)
         assert r.n_entities or r.text == before[r.doc_id]
     assert hits
+
+
+def test_more_names_than_listed_replacements(spark):
+    """150 Greek female names: only 60 replacements have a listed surname."""
+    letters = "αβγδεζηθικλμνξο"
+    names = [f"Μαρία {'ΑΒΓΔΕΖΗΘΙΚ'[i % 10]}{letters[i // 10]}" for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    out = [r.text for r in S.replace(docs, "k").collect()]
+    assert len(set(out)) == 150 and not set(out) & set(names)
+    assert all(t.split()[0] in S.GIVEN["greek", "f"] and len(t.split()) == 2 for t in out)
