@@ -1,5 +1,8 @@
 """Operator 5: licence scan by sentence rules (native).
 
+Known sentences that are wrapped over lines, with comment marks or without, are first joined to one line each: the words of
+one, with other than letters and digits and one line feed at most between two of them. A joined sentence counts as one.
+
 A text is split into sentences at line feeds, semicolons and sentence ends; each is normalised (ASCII lower case, every run
 of other than letters and digits one space) and looked up among known licence sentences; the identifiers found, in the
 order of the text and with unknown sentences left out, are matched against ordered rules, longer rules first, a
@@ -92,10 +95,30 @@ class Scan:
         return sorted(self.rules, key=lambda r: -len(r[1]))
 
 
+# Within a sentence: other than letters and digits, and no sentence's end.
+INNER = r"(?:(?![.!?][\x20\x09-\x0D])[^A-Za-z0-9\n;])"
+
+
+def wrapped(known: dict[str, str]) -> str:
+    """A pattern of the known sentences (normalised) as whole sentences of a text, over one line or several."""
+    gap = rf"(?:{INNER}++(?:\n{INNER}*+)?+|\n{INNER}*+)"
+    one = "|".join(gap.join(s.split(" ")) for s in sorted(known, key=len, reverse=True))
+    return rf"(?:^|(?<=[\n;])|(?<=[.!?][\x20\x09-\x0D])){INNER}*+(?i:{one})(?={INNER}*+(?:[\n;]|[.!?][\x20\x09-\x0D]|\z))"
+
+
+def joined(text: Column, known: dict[str, str]) -> Column:
+    """The text with its known sentences on one line each, normalised."""
+    pattern = wrapped(known)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    plain = F.transform(found, lambda s: F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    parts = F.zip_with(F.split(text, pattern, -1), plain, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+
+
 def identifiers(text: Column, known: dict[str, str]) -> Column:
     """array<struct<at int, id string>>: the known sentences of a text in order, ``at`` counting all its sentences."""
     table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
-    normalised = F.transform(F.split(text, ENDS), lambda s: F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    normalised = F.transform(F.split(joined(text, known), ENDS), lambda s: F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
     filled = F.filter(normalised, lambda s: s != "")
     return F.filter(F.transform(filled, lambda s, i: F.struct(i.alias("at"), table[s].alias("id"))), lambda x: x["id"].isNotNull())
 

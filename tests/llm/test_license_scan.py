@@ -54,3 +54,30 @@ def test_nasty(spark):
     twice = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, "All rights reserved.")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.license, r.first, r.last) for r in L.scan(twice).collect())
     assert got == [("1", "MIT", 0, 0)] * 2 + [("None", "LicenseRef-proprietary", 0, 0)]
+
+
+def test_wrapped_licences(spark):
+    """MIT, BSD and GPL texts wrapped at 72 columns, as they are and in comments."""
+    import textwrap
+
+    def text(rule, mark, number=False):
+        ids = [i for name, i in L.RULES if name == rule][0]
+        out = ["Copyright (c) 2020 Someone."]
+        for k, i in enumerate(ids):
+            s = L.SENTENCES[i][0] if i != "gpl_hope" else "; ".join(L.SENTENCES[i])
+            s = f"{k}. {s}" if number and k else s
+            out += [*textwrap.wrap(s if s.endswith(":") or i == "mit_name" else s + ".", 72), ""]
+        return "\n".join(f"{mark}{x}".rstrip() for x in out)
+
+    rules, marks = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-or-later"], ["", " * ", "# ", "// "]
+    rows = [(i, text(rule, mark, "BSD" in rule)) for i, (rule, mark) in enumerate((r, m) for r in rules for m in marks)]
+    got = {}
+    for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.last > r.first))
+    for i, _ in rows:
+        assert got[i][0] == (rules[i // 4], True) and [x for x, _ in got[i][1:]] in ([], ["sentence:gpl_hope"]), (i, got[i])
+
+
+def test_joining_needs_whole_sentences(spark):
+    texts = ["The MIT. License", "The MIT\n\nLicense (MIT)", "not the MIT\nLicense", "MIT\nLicense plates"]
+    assert L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
