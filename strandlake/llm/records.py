@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents, shared_dir
-from .textops import blocks
-from .tokens import encoder
+from .textops import blocks, tidy
+from .tokens import Encoder
 
 HEAD, TAIL, INDEX = struct.Struct("<QI"), struct.Struct("<I"), np.dtype([("offset", "<u8"), ("length", "<u8")])
 FACTS = struct.Struct("<BqB")
@@ -91,13 +91,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
     """
     shards = shards or docs.rdd.getNumPartitions()
 
+    @tidy
     def write(batches) -> Iterator:
         import pyarrow as pa
 
         shard = TaskContext.get().partitionId()
         fs, root = _filesystem(path)
         name, attempt = f"{root}/{shard:06d}", uuid.uuid4().hex
-        encode, index, at, tokens, out = encoder(tokenizer), [], 0, 0, None
+        encode, index, at, tokens, out = Encoder(tokenizer), [], 0, 0, None
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for i, data, offsets in blocks(batch.column(1)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,31 @@ _P = U64(0x9E3779B97F4A7C15)
 _P_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _powers: dict[str, np.ndarray] = {}
+#: A prime modulus and a generator of its units: sums by it have no structure in common with those by 2^64.
+_PRIME, _ROOT = (1 << 31) - 1, 16807
+_ODD = U64(0x9FB21C651E98DF25)
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Hands memory that is free back to the system: a worker lives on between tasks, beside the JVM's own memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that releases memory at its end."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +70,33 @@ def _power(name: str, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
+def _modular(name: str, n: int) -> np.ndarray:
+    """Powers of the root or of its inverse modulo the prime, by doubling."""
+    name = f"{name} modular"
+    if name not in _powers or len(_powers[name]) < n:
+        root = _ROOT if name.startswith("up") else pow(_ROOT, -1, _PRIME)
+        size = max(n, BLOCK + 1)
+        p, done = np.ones(size, np.uint32), 1
+        while done < size:
+            more = min(done, size - done)
+            p[done : done + more] = p[:more].astype(U64) * U64(pow(root, done, _PRIME)) % U64(_PRIME)
+            done += more
+        if n > BLOCK + 1:
+            return p[:n]
+        _powers[name] = p
+    return _powers[name][:n]
+
+
+def _modular_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of (byte + 1) times the powers; kept below 2^63 by reducing the sum at every 2^24 bytes."""
+    c, up = np.zeros(len(data) + 1, U64), _modular("up", len(data))
+    for low in range(0, len(data), 1 << 24):
+        part = slice(low, min(low + (1 << 24), len(data)))
+        np.cumsum((data[part].astype(U64) + U64(1)) * up[part], out=c[part.start + 1 : part.stop + 1])
+        c[part.start + 1 : part.stop + 1] += c[part.start] % U64(_PRIME)
+    return c
+
+
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets of the texts in them) for runs of texts of about ``size`` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,7 +142,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         return np.zeros(0, U64)
     c = np.zeros(len(data) + 1, U64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", len(data)), out=c[1:])
-    return mix((c[ends] - c[starts]) * _power("down", len(data))[starts])
+    h = (c[ends] - c[starts]) * _power("down", len(data))[starts]
+    # sums by 2^64 alone agree on some strings of strong structure (of 1024 letters and more), whatever the multiplier
+    c = _modular_sums(_LOWER[data] if lower else data)
+    prime = U64(_PRIME)
+    # both sides of a difference are reduced first, as the running sum is reduced now and then
+    other = (c[ends] % prime + prime - c[starts] % prime) % prime * _modular("down", len(data))[starts].astype(U64) % prime
+    return mix(h ^ other * _ODD)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +171,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 def over_texts(fn: Callable[[pa.RecordBatch, int, np.ndarray, np.ndarray], pa.RecordBatch | None], column: str):
     """A function for mapInArrow: ``fn(batch, first row, bytes, offsets)`` for every block of the text column."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data, offsets in blocks(batch.column(batch.schema.names.index(column))):
