@@ -1,10 +1,11 @@
 """Operator 8: line dedup by a segment-partition edit join.
 
-Lines within ``threshold`` edits (of code points) are linked; lines under ``min_chars`` only equal ones. Two lines within t
-edits share one of the t + 1 even segments of the shorter one, unchanged and hardly moved:
+Lines within ``threshold`` edits (of code points) are linked, and at most one edit for every ``per_edit`` code points of the
+shorter line: of two words one is not the other with most of its letters changed. Two lines within t edits share one of the
+t + 1 even segments of the shorter one, unchanged and hardly moved:
 
-1. every distinct line gives the t + 1 segment keys (length, segment number, hash) of its own length, and for each length
-   from its own down to t less the keys of the substrings that can match a segment (multi-match-aware selection);
+1. every distinct line of a task gives the t + 1 segment keys (length, segment number, hash) of its own length, and for each
+   length from its own down to t less the keys of the substrings that can match a segment (multi-match-aware selection);
 2. lines that share a key are candidates; of each line a 512-bit map of the parities of its hashed letter pairs goes along,
    and lines whose maps differ in more than 4 bits an edit are turned down without their texts. A hot key is split into cells
    of bounded size; a cell returns only pairs that pass;
@@ -33,22 +34,49 @@ from pyspark.sql import functions as F
 from .bloom import bloom
 from .common import cut, documents, fresh, stash
 from .components import components
-from .textops import _BYTE, U64, _power, blocks, mix
+from .textops import _BYTE, U64, _power, blocks, mix, span_hashes, tidy
 
 
 @dataclass(frozen=True)
 class LineDedup:
     threshold: int = 2
-    min_chars: int = 24
+    per_edit: int = 12
     min_docs: int = 8
     #: Lines of over 50 words have 101 code points at least, wrapped lines of 70 to 80 columns mostly 64 or more.
     long_chars: int = 64
     cell: int = 512
 
+    def allowed(self, length):
+        """Edits that a line of so many code points may have."""
+        return np.minimum(self.threshold, length // self.per_edit)
+
 
 MAP_BITS = 512
 #: Bytes of text worked on at once: every byte takes some twenty words of scratch here.
 BLOCK = 1 << 20
+#: Hashes of lines that a task remembers having sent keys for.
+SEEN = 1 << 20
+
+
+def line_blocks(column: pa.Array):
+    """(index of the first text, number of its first line here, bytes, offsets) for about BLOCK bytes; a longer text comes in
+    parts cut at line feeds."""
+    for i, data, offsets in blocks(column, BLOCK):
+        if len(offsets) > 2 or len(data) <= BLOCK:
+            yield i, 0, data, offsets
+            continue
+        at, number = 0, 0
+        while at < len(data):
+            feeds = np.flatnonzero(data[at : at + BLOCK] == 10)
+            if at + BLOCK < len(data) and not len(feeds):  # within a line longer than a block
+                step = 8 * BLOCK
+                end = next((j + int(f[0]) for j in range(at + BLOCK, len(data), step) if len(f := np.flatnonzero(data[j : j + step] == 10))), len(data))
+            else:
+                end = at + int(feeds[-1]) if at + BLOCK < len(data) else len(data)
+            part = data[at:end]
+            yield i, number, part, np.array([0, len(part)])
+            number += int(np.count_nonzero(part == 10)) + 1
+            at = end + 1
 
 
 class Lines:
@@ -77,7 +105,7 @@ class Lines:
         self.down = _power("down", n + 1)
         self.a, self.b = np.searchsorted(self.cp, self.starts), np.searchsorted(self.cp, self.ends)
         self.length = self.b - self.a
-        self.hash = self.part(self.a, self.b)
+        self.hash = span_hashes(data, self.starts, self.ends)
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of code points a..b."""
@@ -99,16 +127,16 @@ class Lines:
         return np.packbits((counts & 1).astype(bool).reshape(len(rows), MAP_BITS), axis=1)
 
 
-def segments(length: np.ndarray, i: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+def segments(length: np.ndarray, i: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the i-th (from 0) of t + 1 even segments; the longer ones come last."""
     base, extra = length // (t + 1), length % (t + 1)
     short = t + 1 - extra
     return base * i + np.maximum(0, i - short), base + (i >= short)
 
 
-def keys_of(lines: Lines, rows: np.ndarray, t: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(lines: Lines, rows: np.ndarray, p: LineDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, whether an index key) of the lines ``rows``: their own segments, and the substrings to probe with."""
-    keys, where, own = [], [], []
+    keys, where, own = [np.zeros(0, U64)], [np.zeros(0, int)], [np.zeros(0, bool)]
     size = lines.length[rows]
 
     def add(l_: np.ndarray, i: int, a: np.ndarray, n: np.ndarray, ok: np.ndarray, index: bool) -> None:
@@ -118,15 +146,16 @@ def keys_of(lines: Lines, rows: np.ndarray, t: int, least: int) -> tuple[np.ndar
         where.append(r)
         own.append(np.full(len(r), index))
 
-    for d in range(t + 1):
+    for d in range(p.threshold + 1):
         l_ = size - d
-        for i in range(t + 1):
-            p, n = segments(np.maximum(l_, 0), i, t)
-            for o in range(-t, t + d + 1):
+        t = p.allowed(np.maximum(l_, 0))  # of a pair whose shorter line has this length
+        for i in range(p.threshold + 1):
+            at, n = segments(np.maximum(l_, 0), i, t)
+            for o in range(-p.threshold, p.threshold + d + 1):
                 # the segment moved by o: by at most i edits before it, and at most t - i after it
-                ok = (l_ >= least) & (abs(o) <= i) & (abs(o - d) <= t - i) & (p + o >= 0) & (p + o + n <= size)
+                ok = (t >= max(1, i, d)) & (abs(o) <= i) & (abs(o - d) <= t - i) & (at + o >= 0) & (at + o + n <= size)
                 if ok.any():
-                    add(l_, i, p + o, n, ok, d == 0 and o == 0)
+                    add(l_, i, at + o, n, ok, d == 0 and o == 0)
     return np.concatenate(keys), np.concatenate(where), np.concatenate(own)
 
 
@@ -169,17 +198,19 @@ def within_edits(a: str, b: str, t: int) -> bool:
 
 
 def _key_rows(docs: DataFrame, p: LineDedup) -> DataFrame:
-    t, least = p.threshold, max(p.min_chars, p.threshold + 1)
-
+    @tidy
     def run(batches):
+        seen = np.zeros(0, U64)
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0), BLOCK):
+            for _, _, data, offsets in line_blocks(batch.column(0)):
                 lines = Lines(data, offsets)
-                rows = np.flatnonzero(lines.length >= least)
+                rows = np.flatnonzero(p.allowed(lines.length) > 0)
+                rows = rows[np.unique(lines.hash[rows], return_index=True)[1]]
+                rows = rows[~np.isin(lines.hash[rows], seen)]
                 if not len(rows):
                     continue
-                rows = rows[np.unique(lines.hash[rows], return_index=True)[1]]
-                key, row, own = keys_of(lines, rows, t, least)
+                seen = np.concatenate((seen, lines.hash[rows])) if len(seen) < SEEN else lines.hash[rows]
+                key, row, own = keys_of(lines, rows, p)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.hash[row].view(np.int64)), pa.array(own)], ["key", "h", "own"])
 
     return docs.select("text").mapInArrow(run, "key long, h long, own boolean")
@@ -189,9 +220,10 @@ def _line_rows(docs: DataFrame, wanted, what: str) -> DataFrame:
     """(h, value) of the lines that a Bloom filter lets through: their letter maps or their texts; repeats remain."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0), BLOCK):
+            for _, _, data, offsets in line_blocks(batch.column(0)):
                 lines = Lines(data, offsets)
                 rows = np.flatnonzero(shared.value.may_have(lines.hash)) if len(lines.hash) else np.zeros(0, int)
                 if not len(rows):
@@ -261,45 +293,56 @@ def edit_links(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
     maps = _line_rows(docs, bloom(rows.select("h").distinct()), "map")
     met = _cells(rows.join(maps, "h"), p)
     most = 4 * p.threshold
-    near = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda b: _similar(b, most), "u long, v long")
+    near = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(lambda b: _similar(b, most)), "u long, v long")
     near = cut(near.distinct())
     texts = stash(_line_rows(docs, bloom(near.select("u").union(near.select("v")).distinct()), "text"))
 
+    def close(a: str, b: str) -> bool:
+        return within_edits(a, b, int(p.allowed(min(len(a), len(b)))))
+
+    @tidy
     def verify(batches):
         for pdf in batches:
-            ok = [within_edits(bytes(a).decode(), bytes(b).decode(), p.threshold) for a, b in zip(pdf.a, pdf.b, strict=True)]
+            ok = [close(bytes(a).decode(), bytes(b).decode()) for a, b in zip(pdf.a, pdf.b, strict=True)]
             yield pdf.loc[np.array(ok, bool), ["u", "v"]] if len(pdf) else pdf[["u", "v"]]
 
     both = near.join(texts.select(F.col("h").alias("u"), F.col("value").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("value").alias("b")), "v")
     return cut(both.select("u", "v", "a", "b").mapInPandas(verify, "u long, v long"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, line, h, size (code points): every non-blank line; ``dk`` (a hash of the text) must be a column of ``docs``."""
+def occurrences(docs: DataFrame, mark: str) -> DataFrame:
+    """doc_id, dk, line, h, size (code points): every non-blank line; the column ``mark`` (a hash of the text) becomes ``dk``."""
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for i, data, offsets in blocks(batch.column(2), BLOCK):
+            for i, number, data, offsets in line_blocks(batch.column(2)):
                 lines = Lines(data, offsets)
                 at = pa.array(lines.owner + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)), pa.array(lines.length.astype(np.int32))], ["doc_id", "dk", "line", "h", "size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((lines.number + number).astype(np.int32)), pa.array(lines.hash.view(np.int64)), pa.array(lines.length.astype(np.int32))], ["doc_id", "dk", "line", "h", "size"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("dk"), "text").distinct().mapInArrow(run, "doc_id long, dk long, line int, h long, size int")
+
 
-    return docs.select("doc_id", "dk", "text").mapInArrow(run, "doc_id long, dk long, line int, h long, size int")
+COUNTS = ["n_lines", "n_dropped", "n_linked", "n_links", "n_shared"]
 
 
-def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
+def dedup(docs: DataFrame, params: LineDedup | None = None, names: list[str] | None = None) -> DataFrame:
     """All columns of ``docs`` with the text deduplicated, and n_lines, n_dropped, n_linked, n_links, n_shared of each row.
 
     n_linked: its lines that are linked with a different line of the corpus; n_links: the links of these lines;
-    n_shared: its lines whose class is found in other documents too.
+    n_shared: its lines whose class is found in other documents too. A column of ``docs`` that has one of these names
+    stays, and the count's name gets underscores before it (see :func:`fresh`); ``names`` gives others.
     """
     p = params or LineDedup()
-    d = docs.withColumn("dk", F.xxhash64(F.coalesce("text", F.lit(""))))
+    names = names or fresh(docs, *COUNTS)
+    mark, id_, dk, gone, cls_ = fresh(docs, "_mark", "_id", "_dk", "_drop", "_cls")
+    d = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
     links = edit_links(d, p)
     comp = components(links)
     degree = links.select(F.col("u").alias("h")).union(links.select(F.col("v").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     of_line = cut(comp.join(degree, comp["id"] == degree["h"]).select("id", "component", "links"))
-    rows = occurrences(d.select(F.col("doc_id").cast("long").alias("doc_id"), "dk", "text").distinct())
+    rows = occurrences(d, mark)
     rows = rows.join(of_line, rows["h"] == of_line["id"], "left").select("doc_id", "dk", "line", "size", F.coalesce("component", "h").alias("cls"), F.coalesce("links", F.lit(0)).alias("links"))
     # one row for each class of a document, then for each class: how many documents, and the first
     per_doc = stash(rows.groupBy("cls", "doc_id", "dk").agg(F.min("line").alias("keep"), F.collect_list("line").alias("lines"), F.count_if(F.col("links") > 0).alias("linked"), F.sum("links").alias("links"), F.max("size").alias("size")))
@@ -310,10 +353,11 @@ def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
     met = per_doc.join(common, F.col("cls") == F.col("_cls"), "left")
     stays = F.col("first").isNull() | (F.col("first") == order)
     met = met.withColumn("drop", F.filter("lines", lambda x: ~stays | (x != F.col("keep"))))
-    per = met.groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk")).agg(
-        F.sum(F.size("lines")).alias("n_lines"), F.sum("linked").alias("n_linked"), F.sum("links").alias("n_links"), F.sum(F.when(F.col("_cls").isNotNull(), F.size("lines"))).alias("n_shared"), F.flatten(F.collect_list(F.when(F.size("drop") > 0, F.col("drop")))).alias("_drop")
+    per = met.groupBy(F.col("doc_id").alias(id_), F.col("dk").alias(dk)).agg(
+        F.sum(F.size("lines")).alias("l"), F.sum("linked").alias("k"), F.sum("links").alias("i"), F.sum(F.when(F.col("_cls").isNotNull(), F.size("lines"))).alias("s"), F.flatten(F.collect_list(F.when(F.size("drop") > 0, F.col("drop")))).alias("drop")
     )
-    out = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dk") == F.col("_dk")), "left")
+    per = per.select(id_, dk, F.struct("l", "k", "i", "s", "drop").alias(gone))
+    out = d.join(per, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(dk)), "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, drop: pd.Series) -> pd.Series:
@@ -325,20 +369,21 @@ def dedup(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
 
         return pd.Series([one(t, g) for t, g in zip(text, drop, strict=True)], dtype=object)
 
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    text = F.when(F.size("_drop") > 0, without("text", "_drop")).otherwise(F.col("text")).alias("text")
-    plain = [text if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*plain, zero("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), zero("n_linked"), zero("n_links"), zero("n_shared"))
+    of = F.col(gone)
+    dropped = F.coalesce(F.greatest(F.size(of["drop"]), F.lit(0)), F.lit(0))
+    text = F.when(dropped > 0, without("text", of["drop"])).otherwise(F.col("text")).alias("text")
+    counts = [of["l"], dropped, of["k"], of["i"], of["s"]]
+    return out.select(*(text if c == "text" else F.col(c) for c in docs.columns), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in zip(counts, names, strict=True)))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir).select("doc_id", "text")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    return dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the lines that the dedup drops; n_chars follows the text."""
-    d = docs.select(*("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    out = dedup(d)
+    """Every document stays, without the lines that the dedup drops; n_chars follows the text. Extra columns stay as they are,
+    whatever their names."""
+    out = dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

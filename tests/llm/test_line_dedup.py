@@ -47,7 +47,8 @@ def brute(texts, p):
     links, root = defaultdict(set), {x: x for x in lines}
     for i, a in enumerate(lines):
         for b in lines[i + 1 :]:
-            if min(len(a), len(b)) >= p.min_chars and abs(len(a) - len(b)) <= p.threshold and distance(a, b) <= p.threshold:
+            most = min(p.threshold, min(len(a), len(b)) // p.per_edit)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 links[a].add(b)
                 links[b].add(a)
 
@@ -84,10 +85,10 @@ def brute(texts, p):
 @pytest.mark.parametrize("t,cell", [(1, 512), (2, 3), (3, 512)])
 def test_against_all_pairs(spark, t, cell):
     random.seed(t)
-    base = ["".join(random.choice("abcdé fg") for _ in range(random.randint(14, 40))) for _ in range(12)]
+    base = ["".join(random.choice("abcdé fg") for _ in range(random.randint(5, 40))) for _ in range(14)]
     pool = base + [edited(random.choice(base), random.randint(1, t + 1)) for _ in range(150)] + ["", " ", "ab", "abc", "ab"]
     texts = [(i, "\n".join(random.choice(pool) for _ in range(random.randint(0, 9)))) for i in range(60)] + [(60, None), (61, "")]
-    p = L.LineDedup(threshold=t, min_chars=12, min_docs=5, cell=cell)
+    p = L.LineDedup(threshold=t, per_edit=7, min_docs=5, cell=cell)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.text, r.n_links) for r in L.dedup(docs, p).collect()}
     assert got == brute(texts, p)
@@ -120,3 +121,27 @@ def test_long_lines_stay_once(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped, r.n_shared) for r in L.dedup(docs).collect()}
     assert got == {1: (texts[0][1], 0, 2), 2: ("two\nshort line", 1, 2), 3: ("three", 1, 1), 4: ("four", 0, 0)}
+
+
+def test_clashing_columns(spark, sf):
+    texts = [(1, "one line that is long enough to be linked\nshort", 5, "a", 1.5, "x"), (2, "one line that is long enough to be linkec", 6, "b", 2.5, "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, dk int, _id string, n_lines double, _drop string")
+    out = L.dedup(docs)
+    assert out.columns == [*docs.columns, "_n_lines", "n_dropped", "n_linked", "n_links", "n_shared"]
+    assert sorted(out.select(*docs.columns).collect()) == sorted(docs.collect()) and [r.n_links for r in out.collect()] == [1, 1]
+    assert sorted(L.stage(spark, docs, sf).collect()) == sorted(docs.collect())
+
+
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    """Texts of many blocks, and a line longer than a block, have the same lines as in one piece."""
+    import pyarrow as pa
+
+    random.seed(4)
+    text = "\n".join("x" * random.choice([0, 1, 30, 700]) + str(i) for i in range(200))
+    whole = [(i, n + m, x) for i, n, data, off in L.line_blocks(pa.array(["a\nb", text, "c"])) for lines in [L.Lines(data, off)] for m, x in zip(lines.number.tolist(), lines.hash.tolist())]
+    monkeypatch.setattr(L, "BLOCK", 256)
+    found = []
+    for i, n, data, off in L.line_blocks(pa.array(["a\nb", text, "c"])):
+        lines = L.Lines(data, off)
+        found += zip((n + lines.number).tolist(), lines.hash.tolist())
+    assert found == [(n, x) for _, n, x in whole]
