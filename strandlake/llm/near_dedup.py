@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, fresh, stash
 from .components import components
-from .textops import U64, mix, over_texts, shingles, span_hashes, spans
+from .textops import U64, mix, over_texts, shingles, span_hashes, spans, tidy
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,11 @@ class NearDedup:
     def size(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def words(self) -> int:
+        """64-bit words of a packed signature."""
+        return -(-self.size * self.bits // 64)
+
 
 #: Of the pipeline; its margin is wider, as an estimate spreads more at 0.8.
 STAGE = NearDedup(percent=80, margin=0.18)
@@ -89,8 +94,7 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
                 np.multiply(h, mult[j], out=x)
                 minima[:, j] = np.minimum.reduceat(x, at)
             low = (mix(minima) & U64((1 << p.bits) - 1)).astype(np.uint8)
-            if low.shape[1] % lanes:
-                low = np.pad(low, ((0, 0), (0, lanes - low.shape[1] % lanes)))
+            low = np.pad(low, ((0, 0), (0, p.words * 8 * lanes - p.size)))
             packed = np.zeros((len(full), low.shape[1] // lanes), np.uint8)
             for q in range(lanes):
                 packed |= low[:, q::lanes] << np.uint8(q * p.bits)
@@ -118,21 +122,21 @@ def shingle_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def matrix(sigs) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-
-
-def unpack(sig: np.ndarray, p: NearDedup) -> np.ndarray:
-    mask = np.uint8((1 << p.bits) - 1)
-    return np.concatenate([(sig >> np.uint8(q * p.bits)) & mask for q in range(8 // p.bits)], axis=1)
-
-
-def estimate(equal: np.ndarray, p: NearDedup) -> np.ndarray:
-    """Similarity from the number of equal lanes: a lane of different minima is equal by chance with 2^-b. The last
-    byte's padding, if any, is always equal and is not counted."""
-    per_byte = 8 // p.bits
-    pad = -p.size % per_byte
+    """Packed signatures, a row of 64-bit words each."""
+    return np.frombuffer(b"".join(sigs), U64).reshape(len(sigs), -1)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, p: NearDedup) -> np.ndarray:
+    """Similarity of packed signatures by counting bits: a lane differs if any bit of it does, which is folded into its lowest
+    bit; a lane of different minima is equal by chance with 2^-b, which is corrected. Padding is equal and so never counts."""
+    x = a ^ b
+    folded = x.copy()
+    for k in range(1, p.bits):
+        folded |= x >> U64(k)
+    lowest = U64(sum(1 << i for i in range(0, 64, p.bits)))
+    different = np.bitwise_count(folded & lowest).sum(axis=-1, dtype=np.int64)
     chance = 2.0**-p.bits
-    return ((equal - pad) / p.size - chance) / (1 - chance)
+    return ((p.size - different) / p.size - chance) / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -143,6 +147,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _star_links(stars: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     """Of the pairs (u, v) those whose full sets are similar enough."""
 
+    @tidy
     def check(batches):
         for pdf in batches:
             ok = [linked(np.frombuffer(a, U64), np.frombuffer(b, U64), p.percent) for a, b in zip(pdf.a, pdf.b, strict=True)]
@@ -159,7 +164,7 @@ def _passing(sig: np.ndarray, comp: np.ndarray, near: np.ndarray, p: NearDedup)
     for i in range(len(sig) - 1):
         j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((near[i + 1 :] != near[i]) | (near[i] == 2))) + i + 1
         if len(j):
-            j = j[estimate((sig[j] == sig[i]).sum(1), p) >= p.percent / 100 - p.margin]
+            j = j[estimate(sig[j], sig[i], p) >= p.percent / 100 - p.margin]
             out_i.append(np.full(len(j), i))
             out_j.append(j)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
@@ -194,14 +199,13 @@ def _rest_links(rest: DataFrame, sigs: DataFrame, sets: DataFrame, p: NearDedup)
     rows = rows.join(sigs.select("id", "sig"), "id")
 
     def alive(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = unpack(matrix(list(pdf.sig)), p)
-        i, j = _passing(sig, pdf.comp.to_numpy(), pdf.near.to_numpy(), p)
+        i, j = _passing(matrix(list(pdf.sig)), pdf.comp.to_numpy(), pdf.near.to_numpy(), p)
         return pdf.iloc[np.unique(np.concatenate((i, j)))][["key", "x", "y", "id", "comp", "near", "sig"]]
 
     some = cut(rows.groupBy("key", "x", "y").applyInPandas(alive, "key long, x int, y int, id long, comp long, near int, sig binary"))
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = _passing(unpack(matrix(list(pdf.sig)), p), pdf.comp.to_numpy(), pdf.near.to_numpy(), p)
+        i, j = _passing(matrix(list(pdf.sig)), pdf.comp.to_numpy(), pdf.near.to_numpy(), p)
         own = [np.frombuffer(s, U64) for s in pdf.set]
         both = intersections(own)[i, j] if len(i) > 4 else np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
         size = np.array([len(s) for s in own], np.int64)
@@ -238,11 +242,11 @@ def near_duplicates(docs: DataFrame, params: NearDedup | None = None) -> DataFra
     chosen = shared.select("id").distinct()
     sets = stash(shingle_sets(docs.join(chosen, docs["doc_id"] == chosen["id"], "left_semi"), p).dropDuplicates())
 
+    @tidy
     def likely(batches):
         for pdf in batches:
             if len(pdf):
-                same = (unpack(matrix(list(pdf.a)), p) == unpack(matrix(list(pdf.b)), p)).sum(1)
-                pdf = pdf[estimate(same, p) >= p.percent / 100 - p.margin]
+                pdf = pdf[estimate(matrix(list(pdf.a)), matrix(list(pdf.b)), p) >= p.percent / 100 - p.margin]
             yield pdf[["u", "v"]]
 
     stars = shared.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()

@@ -81,8 +81,10 @@ def test_estimates_and_intersections():
         minima = rng.integers(0, 1 << 62, (2, p.size))
         same = rng.random(p.size) < both / 1000
         minima[1, same] = minima[0, same]
-        equal = (minima[0] % 16 == minima[1] % 16).sum()
-        assert N.estimate(equal, p) == pytest.approx(both / 1000, abs=0.06)
+        low = np.pad(minima % 16, ((0, 0), (0, p.words * 16 - p.size))).astype(np.uint8)
+        a, b = (low[:, ::2] | low[:, 1::2] << 4).astype(np.uint8).view(np.uint64)
+        equal = (low[0, : p.size] == low[1, : p.size]).mean()
+        assert N.estimate(a, b, p) == pytest.approx((equal - 1 / 16) / (15 / 16)) == pytest.approx(both / 1000, abs=0.06)
     sets = [np.unique(rng.integers(0, 500, rng.integers(1, 300))).astype(np.uint64) for _ in range(20)]
     got, apart = N.intersections(sets), ~np.eye(20, dtype=bool)
     assert (got == np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets]))[apart].all()
