@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, stash, within
 from .textops import U64, blocks, mix, release, tidy
-from .tokens import Encoder
+from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 
@@ -168,12 +168,13 @@ def encoded(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
 
     @tidy
     def run(batches):
-        encode, df, done = Encoder(tokenizer), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 40
+        encode, df, done = encoder(tokenizer), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
             for i, data, offsets in blocks(batch.column(1)):
                 ids, first = encode(data, offsets)
                 m = len(offsets) - 1
-                pair = np.unique(np.repeat(np.arange(m, dtype=U64), np.diff(first)) << U64(32) | ids.astype(U64))
+                pair = np.sort(np.repeat(np.arange(m, dtype=U64), np.diff(first)) << U64(32) | ids.astype(U64))
+                pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)]]
                 more = np.bincount((pair & U64(0xFFFFFFFF)).astype(np.int64))
                 if len(more) > len(df):
                     df = np.concatenate((df, np.zeros(2 * len(more) - len(df), np.int64)))

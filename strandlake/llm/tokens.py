@@ -16,7 +16,7 @@ import pandas as pd
 from .textops import span_hashes
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -56,7 +56,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Made anew by each task, since a worker lives on. ``separator`` is put between pieces that are encoded together, ``mark`` is its id; pieces with a character of
+    """``separator`` is put between pieces that are encoded together, ``mark`` is its id; pieces with a character of
     ``avoid`` (after their first, where it is a space) are encoded alone."""
 
     def __init__(self, path: str):
@@ -144,3 +144,14 @@ class Encoder:
         before = np.concatenate(([0], np.cumsum(length)))
         ids = self.ids[np.repeat(self._start[slot] - before[:-1], length) + np.arange(before[-1])]
         return ids, before[np.searchsorted(starts, offsets)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept between tasks with the pieces that it knows (some 60 MB at most)."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
