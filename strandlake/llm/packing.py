@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, stash, within
 from .textops import U64, blocks, mix, release, tidy
-from .tokens import encoder
+from .tokens import ENCODED, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 
@@ -98,12 +98,10 @@ class Bm25:
             return []
         docs = np.concatenate([self.posting_doc[s] for s in slices])
         weights = np.concatenate([self.posting_weight[s] for s in slices])
-        free = ~used[docs]
-        docs, weights = docs[free], weights[free]
-        if not len(docs):
-            return []
-        found, where = np.unique(docs, return_inverse=True)
-        score = np.bincount(where, weights)
+        score = np.bincount(docs, weights, len(used))
+        score[used] = 0
+        found = np.flatnonzero(score > 0)
+        score = score[found]
         if len(found) > self.p.neighbours:
             least = np.partition(score, len(found) - self.p.neighbours)[len(found) - self.p.neighbours]
             keep = score >= least
@@ -170,7 +168,7 @@ def encoded(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
     def run(batches):
         encode, df, done = encoder(tokenizer), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, data, offsets in blocks(batch.column(1)):
+            for i, data, offsets in blocks(batch.column(1), ENCODED):
                 ids, first = encode(data, offsets)
                 m = len(offsets) - 1
                 pair = np.sort(np.repeat(np.arange(m, dtype=U64), np.diff(first)) << U64(32) | ids.astype(U64))

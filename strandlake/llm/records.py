@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, shared_dir
 from .textops import blocks, tidy
-from .tokens import encoder
+from .tokens import ENCODED, encoder
 
 HEAD, TAIL, INDEX = struct.Struct("<QI"), struct.Struct("<I"), np.dtype([("offset", "<u8"), ("length", "<u8")])
 FACTS = struct.Struct("<BqB")
@@ -101,7 +101,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
         encode, index, at, tokens, out = encoder(tokenizer), [], 0, 0, None
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for i, data, offsets in blocks(batch.column(1)):
+            for i, data, offsets in blocks(batch.column(1), ENCODED):
                 ids, first = encode(data, offsets)
                 if out is None:
                     fs.create_dir(root, recursive=True)

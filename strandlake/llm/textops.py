@@ -11,7 +11,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; one longer text is still taken whole.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Powers are kept up to so many.
+KEPT = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -59,12 +61,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(name: str, n: int) -> np.ndarray:
-    """Powers of the multiplier or of its inverse; kept for texts of a block, made anew for a longer one."""
+    """Powers of the multiplier or of its inverse; kept until :func:`release`, made anew for very long texts."""
     if name not in _powers or len(_powers[name]) < n:
         p = np.full(max(n, BLOCK + 1), _P if name == "up" else _P_INVERSE)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        if n > BLOCK + 1:
+        if n > KEPT + 1:
             return p[:n]
         _powers[name] = p
     return _powers[name][:n]
@@ -81,7 +83,7 @@ def _modular(name: str, n: int) -> np.ndarray:
             more = min(done, size - done)
             p[done : done + more] = p[:more].astype(U64) * U64(pow(root, done, _PRIME)) % U64(_PRIME)
             done += more
-        if n > BLOCK + 1:
+        if n > KEPT + 1:
             return p[:n]
         _powers[name] = p
     return _powers[name][:n]

@@ -15,8 +15,11 @@ import pandas as pd
 
 from .textops import span_hashes
 
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers in each of two generations: when the young one is full, it becomes the old one, and pieces
+#: that are met again move on to the next young one. So frequent pieces stay and rare ones are forgotten.
+REMEMBERED = 150_000
+#: Bytes of text that are best encoded at once: a piece is looked up once for all its occurrences there.
+ENCODED = 4 << 20
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -55,6 +58,32 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at[:n])
 
 
+class Generation:
+    """Pieces by their hash, with their ids one after another."""
+
+    def __init__(self):
+        self.known: dict[int, int] = {}
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while n + len(hashes) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(hashes)] = self.used + np.cumsum(lengths)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.used += len(ids)
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in these slots, one after another, and how many each has."""
+        start = self.starts[slots]
+        length = self.starts[slots + 1] - start
+        before = np.cumsum(length) - length
+        return self.ids[np.repeat(start - before, length) + np.arange(length.sum())], length
+
+
 class Encoder:
     """``separator`` is put between pieces that are encoded together, ``mark`` is its id; pieces with a character of
     ``avoid`` (after their first, where it is a space) are encoded alone."""
@@ -74,9 +103,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.lengths, self.used = [], [], 0
+        self.young, self.old = Generation(), Generation()
 
     def _plain(self, piece: str) -> bool:
         if self.separator is None or not piece.strip():
@@ -90,34 +117,25 @@ class Encoder:
         plain = [self._plain(t) for t in texts]
         many = [i for i, p in enumerate(plain) if p]
         alone = [i for i, p in enumerate(plain) if not p]
-        found: dict[int, np.ndarray] = {}
         for low in range(0, len(many), 512 * 64):
             groups = [many[g : g + 512] for g in range(low, min(low + 512 * 64, len(many)), 512)]
-            encoded = self.tokenizer.encode_batch_fast([self.separator.join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([self.separator.join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+            learnt, flat, lengths = [], [], []
             for g, e in zip(groups, encoded, strict=True):
                 ids = np.array(e.ids, np.int32)
-                ends = np.flatnonzero(ids == self.mark)
+                mark = ids == self.mark
+                ends = np.flatnonzero(mark)
                 if len(ends) != len(g) - 1:
                     alone += g
                     continue
-                low_, high = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))
-                for i, a, b in zip(g, low_.tolist(), high.tolist(), strict=True):
-                    found[i] = ids[a:b]
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.int32)
-        order = range(len(texts))
-        flat = np.concatenate([found[i] for i in order]) if texts else np.zeros(0, np.int32)
-        lengths = [len(found[i]) for i in order]
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used
-        for h, n in zip(hashes, lengths, strict=True):
-            self.known[h] = len(self.starts)
-            self.starts.append(at)
-            self.lengths.append(n)
-            at += n
-        self.used = at
+                learnt += g
+                flat.append(ids[~mark])
+                lengths.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
+            if learnt:
+                self.young.add([hashes[i] for i in learnt], np.concatenate(flat), np.concatenate(lengths))
+        if alone:
+            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)]
+            self.young.add([hashes[i] for i in alone], np.concatenate(found), np.array([len(f) for f in found], np.int64))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many lie before each text."""
@@ -126,23 +144,26 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
         code, unique = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.known) + len(unique) > REMEMBERED:
-            self.forget()
+        if len(self.young.known) > REMEMBERED:
+            self.young, self.old = Generation(), self.young
         listed = unique.tolist()
-        new = [k for k, h in enumerate(listed) if h not in self.known]
+        young, old = self.young.known, self.old.known
+        slots = list(map(young.get, listed))
+        unknown = new = [k for k, s in enumerate(slots) if s is None]
+        again = [k for k in new if listed[k] in old]
+        if again:
+            self.young.add([listed[k] for k in again], *self.old.of(np.array([old[listed[k]] for k in again], np.int64)))
+            new = [k for k in new if listed[k] not in old]
         if new:
             where = np.zeros(len(unique), np.int64)
             where[code[::-1]] = np.arange(len(code))[::-1]
             raw = data.tobytes()
             spots = where[new]
             self._learn([listed[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)])
-        slot = np.array([self.known[h] for h in listed], np.int64)
-        if len(self.starts) != getattr(self, "_size", -1):
-            self._start, self._length, self._size = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), len(self.starts)
-        slot = slot[code]
-        length = self._length[slot]
+        for k in unknown:
+            slots[k] = young[listed[k]]
+        ids, length = self.young.of(np.array(slots, np.int64)[code])
         before = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.repeat(self._start[slot] - before[:-1], length) + np.arange(before[-1])]
         return ids, before[np.searchsorted(starts, offsets)]
 
 
