@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,13 +45,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Puts ``new`` in the place of ``path``."""
+    """Puts ``new`` in the place of ``path``; what was there is moved aside first and deleted last, so a crash loses neither."""
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
     if p.getParent() is not None:
         fs.mkdirs(p.getParent())
+    aside = _fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")[1]
+    had = fs.exists(p)
+    if had and not fs.rename(p, aside):
+        raise OSError(f"cannot rename {path}")
     if not fs.rename(_fs(spark, new)[1], p):
+        if had:
+            fs.rename(aside, p)
         raise OSError(f"cannot rename {new} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def copy(spark: SparkSession, source: str, target: str) -> None:
@@ -83,8 +90,3 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def glob(spark: SparkSession, pattern: str) -> list[str]:
     fs, p = _fs(spark, pattern)
     return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
-
-
-def temp_dir() -> tempfile.TemporaryDirectory:
-    """A driver-local folder for a ``with`` block; executors do not see it on a cluster."""
-    return tempfile.TemporaryDirectory(prefix="strandlake-")

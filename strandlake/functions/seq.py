@@ -33,7 +33,16 @@ CODES = {
     24: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG",
     25: "FFLLSSSSYY**CCGWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
     26: "FFLLSSSSYY**CC*WLLLAPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    27: "FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    28: "FFLLSSSSYYQQCCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    29: "FFLLSSSSYYYYCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    30: "FFLLSSSSYYEECC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    31: "FFLLSSSSYYEECCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    33: "FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG",
 }
+# The IUPAC letters that stand for several bases, and for one of two amino acids.
+AMBIGUOUS = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+EITHER = {"DN": "B", "EQ": "Z", "IL": "J"}
 
 
 def gc_percent(seq: Column) -> Column:
@@ -70,18 +79,31 @@ def slice_strand(seq: Column, start: Column, end: Column, strand: Column) -> Col
 def translate(seq: Column, table: Column) -> Column:
     """Amino acids by the genetic code of number ``table`` (null for an unknown number), trailing stops removed.
 
-    A codon with another letter than ACGTU is X; letters beyond the last whole codon are dropped. The codons are cut by
-    one scan, so the work is linear in the length.
+    A codon with ambiguous letters is the amino acid that all its readings share (B, Z or J for the pairs of EITHER),
+    otherwise X, as is one with any other letter; letters beyond the last whole codon are dropped. The codons are cut by one
+    scan, so the work is linear in the length.
     """
     codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s)(...)"), 1)
     codes = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
+    letters = F.create_map(*(F.lit(x) for kv in AMBIGUOUS.items() for x in kv))
 
     def with_code(code: Column) -> Column:
         def amino(codon: Column) -> Column:
             at = F.lit(0)
             for k in range(3):
                 at = at * 4 + F.nullif(F.instr(F.lit("TCAG"), F.substring(codon, k + 1, 1)), F.lit(0)) - 1
-            return F.coalesce(F.substring(code, at + 1, F.lit(1)), F.lit("X"))
+            return F.coalesce(F.substring(code, at + 1, F.lit(1)), ambiguous(codon), F.lit("X"))
+
+        def ambiguous(codon: Column) -> Column:
+            bases = [F.split(letters[F.substring(codon, k + 1, 1)], "") for k in range(3)]
+            place = lambda c: F.instr(F.lit("TCAG"), c) - 1
+            one = lambda a, b, c: F.substring(code, place(a) * 16 + place(b) * 4 + place(c) + 1, F.lit(1))
+            readings = F.flatten(F.transform(bases[0], lambda a: F.flatten(F.transform(bases[1], lambda b: F.transform(bases[2], lambda c: one(a, b, c))))))
+            shared = F.array_join(F.array_sort(F.array_distinct(readings)), "")
+            out = F.when(F.length(shared) == 1, shared)
+            for two, letter in EITHER.items():
+                out = out.when(shared == two, F.lit(letter))
+            return out
 
         return F.when(code.isNotNull() & seq.isNotNull(), F.rtrim(F.array_join(F.transform(codons, amino), ""), F.lit("*")))
 
@@ -91,15 +113,22 @@ def translate(seq: Column, table: Column) -> Column:
 def canonical_kmers(seq: Column, k: int) -> Column:
     """All canonical k-mers (the greater of a k-mer and its reverse complement) of ACGT letters, in order, upper case.
 
-    A lookahead yields every overlapping window in one scan; windows with other letters do not match.
+    A lookahead yields every overlapping window in one scan; windows with other letters do not match. The reverse
+    complement is made once: its windows, from the last to the first, are those of the k-mers.
     """
-    parts = F.regexp_extract_all(F.upper(seq), F.lit(f"(?=([ACGT]{{{k}}}))"), 1)
-    return F.transform(parts, lambda x: F.greatest(x, reverse_complement(x)))
+    parts = lambda s: F.regexp_extract_all(s, F.lit(f"(?=([ACGT]{{{k}}}))"), 1)
+    upper = F.upper(seq)
+    return F.zip_with(parts(upper), F.reverse(parts(reverse_complement(upper))), lambda x, y: F.greatest(x, y))
+
+
+def distinct_kmers(seq: Column, k: int) -> Column:
+    """The distinct canonical k-mers of a sequence, in the order in which they come up first."""
+    return F.array_distinct(canonical_kmers(seq, k))
 
 
 def kmers(seq: Column, k: int) -> Column:
     """The distinct canonical k-mers of a sequence, sorted."""
-    return F.array_sort(F.array_distinct(canonical_kmers(seq, k)))
+    return F.array_sort(distinct_kmers(seq, k))
 
 
 def pair_name(name: Column) -> Column:

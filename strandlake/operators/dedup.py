@@ -12,6 +12,16 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def members(df: DataFrame, column: str, values: list | DataFrame, negate: bool = False) -> DataFrame:
+    """Rows whose ``column`` is (``negate``: is not) among ``values``: a list, or the one column of a DataFrame (a semi or anti
+    join, whatever its size). A null is never among them, and stays if negated."""
+    if isinstance(values, DataFrame):
+        other = values.select(F.col(values.columns[0]).alias("_value"))
+        return df.join(other, F.col(column) == F.col("_value"), "left_anti" if negate else "left_semi")
+    hit = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    return df.where(~hit if negate else hit)
+
+
 def median_rows(df: DataFrame, value: str, keys: list[str], not_null: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Of each key group the row that holds the (approximate, existing) median of ``value``; ties by the columns ``ties``."""
     d = df.dropna(subset=[value, *(not_null or [])])

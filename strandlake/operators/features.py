@@ -42,6 +42,22 @@ def cutoff_hits(hits: DataFrame, cutoffs: DataFrame | None = None, bitscore: flo
     return hits.join(c, F.col("hmm_acc") == F.col("_acc")).where(F.col("bitscore") >= F.col("_cut")).drop("_acc", "_cut")
 
 
+def hit_sequences(hits: DataFrame, cds: DataFrame) -> DataFrame:
+    """The hits (cds_id, cds_from, cds_to from 1, both included) with ``aa``, the amino acids of their span, to be scanned again."""
+    c = cds.select(F.col("idx").alias("_idx"), "aa_sequence")
+    span = F.substring("aa_sequence", F.col("cds_from").cast("int"), (F.col("cds_to") - F.col("cds_from") + 1).cast("int"))
+    return hits.join(c, F.col("cds_id") == F.col("_idx")).select(*hits.columns, span.alias("aa"))
+
+
+def embed(vectors: DataFrame, dims: int = 2, id_: str = "bgc_id") -> DataFrame:
+    """id, embedding: the first ``dims`` principal components of array<double> vectors ``v`` of one length (a linear embedding)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    d = vectors.select(F.col(id_), array_to_vector(F.col("v")).alias("v"))
+    return PCA(k=dims, inputCol="v", outputCol="e").fit(d).transform(d).select(id_, vector_to_array("e").alias("embedding"))
+
+
 def flat_birch(points: list[dict[str, float]], threshold: float) -> list[tuple[int, dict[str, float]]]:
     """Clustering features in one pass: a point joins the nearest sub-cluster if the merged radius stays within the
     threshold, otherwise it opens one. Returns (points, centroid) for each."""

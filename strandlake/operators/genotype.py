@@ -36,6 +36,20 @@ def encode_alleles(panel: DataFrame, dbsnp: DataFrame) -> DataFrame:
     return a.join(b, ["ids", "allele"]).select("ids", "code1k", "code").distinct()
 
 
+def catalog_ids(catalog: DataFrame, dbsnp: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Association rows with the ids of their places; unmatched places go, and of equal (trait, ids, alt) the first by
+    publication, date and odds ratio stays."""
+    d = update_ids(catalog, dbsnp, keep=False, overwrite=overwrite).dropna(subset=["ids"])
+    return keep_first(d, ["trait", "ids", "alt"], [F.col("pubmedID"), F.col("date"), F.col("OR")])
+
+
+def mapped_codes(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Association rows whose ``code`` is renumbered by ``mapping`` (ids, code, code1k) to that of the panel; 0 if it has none."""
+    m = mapping.select(F.col("ids").alias("_ids"), F.col("code").alias("_code"), "code1k").distinct()
+    d = catalog.join(m, (F.col("ids") == F.col("_ids")) & (F.col("code") == F.col("_code")), "left")
+    return d.withColumn("code", F.coalesce("code1k", F.lit(0))).drop("_ids", "_code", "code1k").distinct()
+
+
 def code_catalog(catalog: DataFrame, dbsnp: DataFrame) -> DataFrame:
     """Association rows with the ``code`` of their risk allele; unknown ones go."""
     a = allele_rows(dbsnp).select(F.col("ids").alias("_ids"), F.col("allele").alias("_a"), "code").distinct()
@@ -54,7 +68,10 @@ def sample_rows(variants: DataFrame, names: DataFrame) -> DataFrame:
 
 def fill_samples(rows: DataFrame) -> DataFrame:
     """Adds ``gt`` "0" for every variant in which a sample is missing."""
-    every = rows.select("ids").distinct().join(F.broadcast(rows.select("sample_name").distinct()))
+    samples = rows.select("sample_name").distinct()
+    # as many rows as the result has; the samples go along with the ids if a count shows that they are few
+    small = samples.limit(100_001).count() <= 100_000
+    every = rows.select("ids").distinct().crossJoin(F.broadcast(samples) if small else samples)
     return every.join(rows, ["ids", "sample_name"], "left").withColumn("gt", F.coalesce("gt", F.lit("0")))
 
 

@@ -10,7 +10,7 @@ from ..functions import seq as S
 
 def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq", windows: int = 1) -> DataFrame:
     """kmer, kmer_count: in how many reads each canonical k-mer (or minimizer code, if ``windows`` > 1) occurs."""
-    codes = S.kmers(F.col(seq), k) if windows <= 1 else S.minimizers(F.col(seq), k, windows)
+    codes = S.distinct_kmers(F.col(seq), k) if windows <= 1 else S.minimizers(F.col(seq), k, windows)
     out = reads.select(F.explode(codes).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("kmer_count"))
     return out.where(F.col("kmer_count") >= least) if least > 1 else out
 
@@ -18,7 +18,7 @@ def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq", wind
 def contaminated(reads: DataFrame, reference: DataFrame, k: int = 31, least: int = 0, id_: str = "id", seq: str = "seq", minimizer: bool = False) -> DataFrame:
     """The distinct ids of reads that share a k-mer with the reference (one that occurs in ``least`` reference rows)."""
     m = k // 2 + 1
-    codes = (lambda: S.minimizers(F.col(seq), m, max(k - m, 1))) if minimizer else (lambda: S.kmers(F.col(seq), k))
+    codes = (lambda: S.minimizers(F.col(seq), m, max(k - m, 1))) if minimizer else (lambda: S.distinct_kmers(F.col(seq), k))
     ref = reference.select(F.explode(codes()).alias("kmer"))
     ref = ref.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("kmer") if least > 1 else ref.distinct()
     return reads.select(id_, F.explode(codes()).alias("kmer")).join(ref, "kmer", "left_semi").select(id_).distinct()

@@ -68,11 +68,11 @@ class ClusterDatabase(Workspace):
         return V.vectors(*parts)
 
     def families(self, vectors: DataFrame, threshold: float = 0.4, parts: int = 8, tag: str = "") -> DataFrame:
-        return self.cached("centroids", lambda: V.centroids(vectors, threshold, parts), threshold=threshold, parts=parts, tag=tag)
+        return self.cached("centroids", lambda: V.centroids(vectors, threshold, parts), threshold=threshold, parts=parts, tag=tag, rows=self.mark_of(vectors))
 
     def membership(self, vectors: DataFrame, threshold: float = 0.4, parts: int = 8, tag: str = "") -> DataFrame:
         centres = self.families(vectors, threshold, parts, tag)
-        return self.cached("membership", lambda: V.nearest(vectors, centres), threshold=threshold, parts=parts, tag=tag)
+        return self.cached("membership", lambda: V.nearest(vectors, centres), threshold=threshold, parts=parts, tag=tag, rows=self.mark_of(vectors))
 
 
 class GenomeDatabase(Workspace):

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import files
 from ..table import TypedTable
@@ -65,6 +66,12 @@ class Workspace:
             raise KeyError(name)
         return self.tables[name].read(self.spark, f"{self.path}/data/{name}")
 
+    @staticmethod
+    def mark_of(df: DataFrame) -> str:
+        """Equal for equal rows in any order: what a cached result was made from."""
+        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()
+        return f"{r[0]}:{r[1]}"
+
     def cached(self, kind: str, make: Callable[[], DataFrame], **parameters) -> DataFrame:
         """The Parquet of this kind and these parameters; made and written if it is not there."""
         key = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]

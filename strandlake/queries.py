@@ -6,21 +6,25 @@ located features, lineitem and orders variants and measures, embeddings feature
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files, runner
 from .functions import loc, variant, vec
 from .functions import register
 from .functions import seq as S
 from .operators import annotation, dedup, features, genotype, graph
 from .operators import reads as R
+from .plans import clusters as P
+from .plans import risk
 from .plans.clusters import split_subfamily
+from .sources import base as B
 from .sources import reads as SR
-from .sources.formats import Fasta, Gff3, Vcf, VcfHeader
-from .table import Nucleotides, Proteins
+from .sources.formats import Fasta, Gff3, Pairs, Vcf, VcfHeader
+from .sources.genbank import GenBank
+from .table import Cds, Features, Metadata, Nucleotides, PairedReads, Proteins, Reads, Relation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,8 +46,8 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def checkpoints(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="strandlake-")
+    if not where:  # a folder that executors share, on the default file system
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -397,18 +401,18 @@ def risk_score(spark, sf):
     return genotype.risk_scores(genotype.doses(_genotypes(spark, sf)), c).select("sample_name", "trait", "pubmedID", F.round("prs_score", 4).alias("prs_score"))
 
 
-@query("WITH r AS (SELECT c_nationkey AS ids, c_mktsegment AS sample_name, max(c_custkey % 3)::VARCHAR AS gt FROM customer WHERE c_custkey % 7 < 3 GROUP BY ALL) SELECT ids, sample_name, coalesce(gt, '0') AS gt FROM (SELECT DISTINCT ids FROM r) CROSS JOIN (SELECT DISTINCT sample_name FROM r) LEFT JOIN r USING (ids, sample_name)")
+@query("WITH r AS (SELECT c_nationkey AS ids, c_mktsegment AS sample_name, max(c_custkey % 3)::VARCHAR AS gt FROM customer WHERE c_acctbal > 9000 GROUP BY ALL) SELECT ids, sample_name, coalesce(gt, '0') AS gt FROM (SELECT DISTINCT ids FROM r) CROSS JOIN (SELECT DISTINCT sample_name FROM r) LEFT JOIN r USING (ids, sample_name)")
 def fill_samples(spark, sf):
-    r = t(spark, sf, "customer").where("c_custkey % 7 < 3").groupBy(F.col("c_nationkey").alias("ids"), F.col("c_mktsegment").alias("sample_name")).agg(F.max(F.col("c_custkey") % 3).cast("string").alias("gt"))
+    r = t(spark, sf, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("ids"), F.col("c_mktsegment").alias("sample_name")).agg(F.max(F.col("c_custkey") % 3).cast("string").alias("gt"))
     return genotype.fill_samples(r)
 
 
 @query(
-    "WITH n AS (SELECT l_suppkey AS k, list(DISTINCT l_linenumber::VARCHAR) AS names FROM lineitem WHERE (l_orderkey + l_suppkey) % 11 = 0 GROUP BY 1), p AS (SELECT concat('f', lpad(k::VARCHAR, 8, '0')) AS file_path, names FROM n), top AS (SELECT arg_max(names, (len(names), file_path)) AS t FROM p) "
+    "WITH n AS (SELECT l_suppkey AS k, list(DISTINCT l_linenumber::VARCHAR) AS names FROM lineitem WHERE l_discount > l_tax AND l_quantity > 48 GROUP BY 1), p AS (SELECT concat('f', lpad(k::VARCHAR, 8, '0')) AS file_path, names FROM n), top AS (SELECT arg_max(names, (len(names), file_path)) AS t FROM p) "
     "SELECT file_path, list_sort(list_filter(t, lambda x: NOT list_contains(names, x))) AS missing, list_sort(list_filter(names, lambda x: NOT list_contains(t, x))) AS extra FROM p, top"
 )
 def missing_samples(spark, sf):
-    d = t(spark, sf, "lineitem").where("(l_orderkey + l_suppkey) % 11 = 0").groupBy("l_suppkey").agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("names"))
+    d = t(spark, sf, "lineitem").where("l_discount > l_tax and l_quantity > 48").groupBy("l_suppkey").agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("names"))
     return genotype.missing_samples(d.select(F.concat(F.lit("f"), F.lpad(F.col("l_suppkey").cast("string"), 8, "0")).alias("file_path"), "names"))
 
 
@@ -511,7 +515,7 @@ EDGES = "e AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_simila
 
 
 def _edges(spark, sf):
-    return graph.cosine_edges(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.4, 8).withColumn("weight", F.round("weight", 6))
+    return graph.cosine_edges(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {EDGES} SELECT * FROM e")
@@ -528,19 +532,44 @@ def lpa_step(spark, sf):
     return graph.lpa_step(e, e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
 
 
-LPA = f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM e), l1 AS ({STEP.format('l0')}), l2 AS ({STEP.format('l1')}), l3 AS ({STEP.format('l2')}), f AS (SELECT node, label FROM l3 WHERE node IN (SELECT dst FROM e))"
+def rounds(n: int) -> str:
+    """``n`` rounds and the last vote, unrolled; further rounds change nothing once labels are stable."""
+    steps = ", ".join(f"l{i} AS MATERIALIZED ({STEP.format(f'l{i - 1}')})" for i in range(1, n + 2))
+    return f"WITH {EDGES.replace('e AS (', 'e AS MATERIALIZED (', 1)}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM e), {steps}, f AS (SELECT node, label FROM l{n + 1} WHERE node IN (SELECT dst FROM e))"
 
 
-@query(f"{LPA} SELECT node, label FROM f")
+@query(f"{rounds(5)} SELECT node, label FROM f")
 def label_propagation(spark, sf):
     checkpoints(spark)
-    return graph.label_propagation(_edges(spark, sf), 3)
+    return graph.label_propagation(_edges(spark, sf))
 
 
-@query(f"{LPA} SELECT label, count(*) AS count, list(node ORDER BY node) AS members FROM f GROUP BY label HAVING count(*) >= 2")
+CLUSTERS = f"{rounds(15)}, c AS (SELECT label, count(*) AS count, list(node ORDER BY node) AS members FROM f GROUP BY label HAVING count(*) >= 2)"
+
+
+@query(f"{CLUSTERS} SELECT * FROM c")
 def label_clusters(spark, sf):
     checkpoints(spark)
-    return graph.cluster(_edges(spark, sf), max_iter=3)
+    return graph.cluster(_edges(spark, sf))
+
+
+@query(f"{CLUSTERS} SELECT label, unnest(members) AS node, count FROM c")
+def cluster_members(spark, sf):
+    checkpoints(spark)
+    return graph.cluster_members(graph.label_propagation(_edges(spark, sf), 15))
+
+
+@query(f"{CLUSTERS} SELECT vec_id, f.label AS cluster FROM embeddings LEFT JOIN f ON vec_id = node")
+def labelled_vertices(spark, sf):
+    checkpoints(spark)
+    labels = graph.label_propagation(_edges(spark, sf), 15)
+    return graph.labelled_vertices(t(spark, sf, "embeddings").select("vec_id"), labels, "vec_id").withColumnRenamed("label", "cluster")
+
+
+@query(f"{CLUSTERS} SELECT coalesce(sum(count), 0)::BIGINT AS nodes, count(*) AS clusters, min(count) AS smallest, max(count) AS largest, round(avg(count), 6) AS mean, round(stddev(count), 6) AS deviation, quantile_cont(count, 0.25)::DOUBLE AS q1, quantile_cont(count, 0.5)::DOUBLE AS median, quantile_cont(count, 0.75)::DOUBLE AS q3 FROM c")
+def cluster_stats(spark, sf):
+    path = f"{checkpoints(spark)}/clusters-{uuid.uuid4().hex}"
+    return graph.save_clusters(t(spark, sf, "embeddings").select("vec_id"), _edges(spark, sf), path, "vec_id").withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -581,5 +610,281 @@ def vcf_scan(spark, sf):
     spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.text(f"{path}/head")
     names = VcfHeader().load_small(spark, f"{path}/head").df.where("key = 'samples'").select(F.split("value", "\t").alias("names"))
     body = Vcf().load_small(spark, f"{path}/body").df
-    files = body.select("file_path").distinct().join(F.broadcast(names))
-    return genotype.sample_rows(body, files).select(F.col("ids").cast("long").alias("ids"), "sample_name", "gt")
+    named = body.select("file_path").distinct().crossJoin(names)
+    return genotype.sample_rows(body, named).select(F.col("ids").cast("long").alias("ids"), "sample_name", "gt")
+
+
+def scratch(spark, name: str) -> str:
+    return f"{checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _pair_files(spark, sf) -> str:
+    path = scratch(spark, "pairs")
+    t(spark, sf, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name").alias("value")).repartition(3).write.text(path)
+    return path
+
+
+PAIRS = "SELECT c_custkey::VARCHAR AS key, c_name AS value, {0}::BIGINT AS n FROM customer"
+
+
+def _counted(table):
+    return table.df.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PAIRS.format(1))
+def load_listed(spark, sf):
+    path = _pair_files(spark, sf)
+    files.write_text(spark, f"{path}.list", "\n".join(files.glob(spark, f"{path}/part-*")))
+    return _counted(Pairs().load_listed(spark, f"{path}.list"))
+
+
+@query(PAIRS.format(2))
+def load_big(spark, sf):
+    """Each file twice, kept as Parquet and taken from there the second time."""
+    path = _pair_files(spark, sf)
+    paths = files.glob(spark, f"{path}/part-*") * 2
+    Pairs().load_big(spark, paths, f"{path}.kept")
+    return _counted(Pairs().load_big(spark, paths, f"{path}.kept"))
+
+
+@query(PAIRS.format(1))
+def load_concatenated(spark, sf):
+    path = _pair_files(spark, sf)
+    B.concatenate(spark, f"{path}/part-*", f"{path}.cat", 2)
+    return _counted(Pairs().load_concatenated(spark, f"{path}.cat"))
+
+
+def _genbank(spark, sf) -> str:
+    """A record for each supplier: a sequence of its number's length, one coding sequence and one gene."""
+    path = scratch(spark, "genbank")
+    k = F.col("s_suppkey")
+    bases = F.substring(F.repeat(F.lit("atgcccgta"), 200), F.lit(1), (k % 700 + 30).cast("int"))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("LOCUS       S"), k, F.lit("  "), k % 700 + 30, F.lit(" bp    DNA     linear   BCT 01-JAN-2020")), F.concat(F.lit("DEFINITION  "), "s_name", F.lit(".")), F.concat(F.lit("ACCESSION   S"), k), F.concat(F.lit("VERSION     S"), k, F.lit(".2")), F.lit("FEATURES             Location/Qualifiers"),
+        F.concat(F.lit("     CDS             complement("), k % 7 + 1, F.lit(".."), k % 7 + 12, F.lit(")")), F.concat(F.lit('                     /locus_tag="t'), k, F.lit('"')), F.lit("                     /transl_table=11"), F.lit("     gene            join(1..3,5..9)"), F.concat(F.lit('                     /gene="'), "s_name", F.lit('"')),
+        F.lit("ORIGIN"), F.concat(F.lit("        1 "), F.regexp_replace(bases, "(.{10})", "$1 ")), F.lit("//"),
+    )
+    t(spark, sf, "supplier").select(text.alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT concat('S', s_suppkey, '.2') AS seq_id, s_name AS \"desc\", upper(substring(repeat('atgcccgta', 200), 1, s_suppkey % 700 + 30)) AS sequence, s_suppkey % 700 + 30 AS length FROM supplier")
+def genbank_sequences(spark, sf):
+    return GenBank("sequence").load_small(spark, _genbank(spark, sf)).df.select("seq_id", "desc", F.upper("sequence").alias("sequence"), "length")
+
+
+@query(
+    "SELECT concat('S', s_suppkey, '.2') AS seq_id, kind AS type, CASE kind WHEN 'CDS' THEN s_suppkey % 7 + 1 ELSE 1 END AS \"start\", CASE kind WHEN 'CDS' THEN s_suppkey % 7 + 12 ELSE 9 END AS \"end\", (CASE kind WHEN 'CDS' THEN -1 ELSE 1 END)::TINYINT AS strand, "
+    "CASE kind WHEN 'CDS' THEN concat('t', s_suppkey) END AS tag, CASE kind WHEN 'gene' THEN s_name END AS gene FROM supplier, (VALUES ('CDS'), ('gene')) v(kind)"
+)
+def genbank_features(spark, sf):
+    d = GenBank("annotation").load_small(spark, _genbank(spark, sf)).df
+    p, q = F.get("location", F.lit(0)), F.col("qualifiers")
+    return d.select("seq_id", "type", p["start"].alias("start"), p["end"].alias("end"), p["strand"].alias("strand"), loc.qualifier(q, "locus_tag").alias("tag"), loc.qualifier(q, "gene").alias("gene"))
+
+
+@query("SELECT 'id' AS key, concat('S', s_suppkey, '.2') AS value, 1::BIGINT AS n FROM supplier UNION ALL SELECT 'description', s_name, count(*) FROM supplier GROUP BY 2 UNION ALL SELECT k, x, count(*) FROM supplier, (VALUES ('molecule_type', 'DNA'), ('topology', 'linear'), ('sequence_version', '2')) v(k, x) GROUP BY ALL")
+def genbank_metadata(spark, sf):
+    d = GenBank("metadata").load_small(spark, _genbank(spark, sf)).df
+    return dedup.members(d, "key", ["id", "description", "molecule_type", "topology", "sequence_version"]).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT concat('@', conv_id, '/', lpad(turn::VARCHAR, 4, '0')) AS name, regexp_replace(text, '\\s', '', 'g') AS seq, role AS qual FROM conversations")
+def fastq_split(spark, sf):
+    path = scratch(spark, "fastq")
+    SR.write_fastq(_pairs(spark, sf).withColumn("seq", F.regexp_replace("seq", r"\s", "")), path)
+    return SR.fastq_split(spark, path).select("name", "seq", "qual")
+
+
+@query("SELECT concat('@', conv_id, '/', lpad(turn::VARCHAR, 4, '0')) AS name, regexp_replace(text, '\\s', '', 'g') AS seq, role AS qual FROM conversations")
+def fastq_lines(spark, sf):
+    path = scratch(spark, "fastq")
+    SR.write_fastq(_pairs(spark, sf).withColumn("seq", F.regexp_replace("seq", r"\s", "")), path)
+    SR.convert(spark, path, f"{path}.lines", to="lines")
+    return SR.fastq_lines(spark, f"{path}.lines").select("name", "seq", "qual")
+
+
+@query("SELECT concat('@', conv_id, '/', lpad(turn::VARCHAR, 4, '0')) AS name, regexp_replace(text, '\\s', '', 'g') AS seq FROM conversations")
+def fastq_to_parquet(spark, sf):
+    """Converted, sorted by name, and loaded again; then as FASTA."""
+    path = scratch(spark, "fastq")
+    SR.write_fastq(_pairs(spark, sf).withColumn("seq", F.regexp_replace("seq", r"\s", "")), path)
+    SR.convert(spark, path, f"{path}.pq", sort="name")
+    SR.convert(spark, path, f"{path}.fa", to="fa")
+    a, b = SR.load(spark, f"{path}.pq", format="pq"), SR.load(spark, f"{path}.fa", format="fa")
+    return a.select("name", "seq").join(b.select(F.concat(F.lit("@"), "name").alias("name"), "seq"), ["name", "seq"])
+
+
+@query("SELECT c_name AS name, concat(repeat('A', (c_custkey % 5)::INT), c_mktsegment) AS seq FROM customer")
+def sam_scan(spark, sf):
+    path = scratch(spark, "sam")
+    seq = F.concat(F.repeat(F.lit("A"), (F.col("c_custkey") % 5).cast("int")), "c_mktsegment")
+    line = F.concat_ws("\t", "c_name", F.lit("4"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("I"))
+    t(spark, sf, "customer").select(line.alias("value")).union(spark.createDataFrame([("@HD\tVN:1",)], "value string")).write.text(path)
+    return SR.sam(spark, path).select("name", "seq")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tsv_vertices(spark, sf):
+    path = scratch(spark, "tsv")
+    SR.write_tsv(t(spark, sf, "nation"), path)
+    return SR.vertices(spark, path, "TSV", "n_nationkey int, n_name string, n_regionkey int")
+
+
+def _metadata(spark, sf):
+    i = F.col("c_custkey")
+    return t(spark, sf, "customer").select(F.col("c_mktsegment").alias("file_path"), F.col("c_name").alias("key"), F.when(i % 4 > 0, i.cast("string")).alias("value"))
+
+
+@query("SELECT c_mktsegment AS file_path, c_name AS key, c_custkey::VARCHAR AS value FROM customer WHERE c_custkey % 4 > 0")
+def typed_round_trip(spark, sf):
+    """Written with its sidecar, read by its class, the valid rows written over it, read again."""
+    path = scratch(spark, "typed")
+    Metadata(_metadata(spark, sf)).write(path)
+    Metadata.read(spark, path).valids().write(path, overwrite=True)
+    return Metadata.read(spark, path).df.drop("idx")
+
+
+@query("SELECT a.n_regionkey AS file_path, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY 1")
+def relation_self_join(spark, sf):
+    m = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), "n_regionkey")
+    a, b = m.select(F.col("idx").alias("idx_1"), "n_regionkey"), m.select(F.col("idx").alias("idx_2"), "n_regionkey")
+    pairs = Relation(a.join(b, "n_regionkey").select("idx_1", "idx_2")).valids().df
+    return pairs.join(a.withColumnRenamed("n_regionkey", "file_path"), "idx_1").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {SEQS}, r AS (SELECT id, seq, id % 3 = 0 AND length(seq) > 0 AS a, id % 2 = 0 AS b FROM s) "
+    "SELECT count(*) FILTER (a) AS reads, count(*) FILTER (a AND b) AS pairs FROM r"
+)
+def read_validators(spark, sf):
+    """A third of the reads have as many qualities as letters; every second mate (which may be empty) too."""
+    i, n = F.col("id"), F.length("seq")
+    some = lambda k: F.transform(F.sequence(F.lit(0), k), lambda x: F.lit(1).cast("tinyint"))
+    d = seqs(spark, sf).select("id", F.col("seq").alias("sequence"), n.cast("long").alias("length"), F.when(i % 3 == 0, F.slice(some(n), F.lit(1), n)).otherwise(some(n)).alias("quality"))
+    d = d.withColumns({"sequence_2": F.lit("").cast("string"), "length_2": F.when(i % 2 == 0, 0).otherwise(1).cast("long"), "quality_2": F.array().cast("array<tinyint>")})
+    return d.agg(F.count_if(Reads._valid()).alias("reads"), F.count_if(PairedReads._valid()).alias("pairs"))
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 4 > 0) AS metadata, (SELECT count(*) FROM customer WHERE c_nationkey > 3) AS relations, (SELECT count(*) FROM events WHERE value > 50) AS features, (SELECT count(*) FROM part WHERE p_size > 9) AS cds")
+def other_validators(spark, sf):
+    count = lambda df, cls, n: df.agg(F.count_if(cls._valid()).alias(n))
+    a = count(_metadata(spark, sf), Metadata, "metadata")
+    b = count(t(spark, sf, "customer").select(F.col("c_custkey").alias("idx_1"), F.when(F.col("c_nationkey") > 3, F.col("c_custkey")).alias("idx_2")), Relation, "relations")
+    c = count(t(spark, sf, "events").select(F.when(F.col("value") > 50, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("location")), Features, "features")
+    d = count(t(spark, sf, "part").select(F.when(F.col("p_size") > 9, F.col("p_name")).alias("aa_sequence")), Cds, "cds")
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+
+
+@query("SELECT count(*) FILTER (l_returnflag IN ('A', 'R')) AS among, count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS others, count(*) FILTER (l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)) AS joined FROM lineitem")
+def membership(spark, sf):
+    d = t(spark, sf, "lineitem")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    small = t(spark, sf, "part").where("p_size < 10").select("p_partkey")
+    return n(dedup.members(d, "l_returnflag", ["A", "R"]), "among").crossJoin(n(dedup.members(d, "l_returnflag", ["A", "R"], negate=True), "others")).crossJoin(n(dedup.members(d, "l_partkey", small), "joined"))
+
+
+# --- variants: the joins of a risk score -----------------------------------------------------------------------------
+def _catalog(spark, sf):
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("ids"), F.get(F.array(F.lit("O"), F.lit("F"), F.lit("LOW")), F.col("p_size") % 3).alias("alt"), (F.col("p_size") / 10).cast("float").alias("OR"), (F.col("p_size") % 25 + 1).alias("chromosome"), (F.col("p_partkey") % 500).alias("position"), F.col("p_brand").alias("trait"), F.lit(None).cast("date").alias("date"), F.col("p_partkey").alias("pubmedID"))
+
+
+CATALOG = "c AS (SELECT p_partkey AS ids, (['O', 'F', 'LOW'])[p_size % 3 + 1] AS alt, p_size % 25 + 1 AS chromosome, p_partkey % 500 AS position, p_brand AS trait, p_partkey AS \"pubmedID\" FROM part)"
+
+
+@query(f"WITH {CATALOG}, {VARIANTS}, a AS (SELECT ids, unnest(range(0, len(al)))::INT AS code, unnest(al) AS alt FROM v) SELECT ids, alt, trait, code FROM c JOIN (SELECT DISTINCT * FROM a) USING (ids, alt)")
+def catalog_codes(spark, sf):
+    return genotype.code_catalog(_catalog(spark, sf), _variants(spark, sf)).select("ids", "alt", "trait", "code")
+
+
+@query(f"WITH {CATALOG}, ref AS (SELECT (o_custkey % 25 + 1)::INT AS chromosome, o_orderkey % 500 AS position, min(o_orderkey + 1000000) AS new FROM orders GROUP BY 1, 2) SELECT new AS ids, alt, trait, \"pubmedID\" FROM c JOIN ref USING (chromosome, position) QUALIFY row_number() OVER (PARTITION BY trait, new, alt ORDER BY \"pubmedID\") = 1")
+def catalog_ids(spark, sf):
+    ref = t(spark, sf, "orders").select((F.col("o_custkey") % 25 + 1).cast("int").alias("chromosome"), (F.col("o_orderkey") % 500).alias("position"), (F.col("o_orderkey") + 1000000).alias("ids"))
+    return genotype.catalog_ids(_catalog(spark, sf), ref, overwrite=True).select("ids", "alt", "trait", "pubmedID")
+
+
+@query("SELECT p_partkey AS ids, p_brand AS trait, (CASE WHEN p_size % 2 = 0 THEN (p_size % 4 + 5) ELSE 0 END)::INT AS code FROM part")
+def catalog_mapped(spark, sf):
+    p = t(spark, sf, "part")
+    c = p.select(F.col("p_partkey").alias("ids"), F.col("p_brand").alias("trait"), (F.col("p_size") % 4).alias("code"))
+    m = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("ids"), (F.col("p_size") % 4).alias("code"), (F.col("p_size") % 4 + 5).alias("code1k"))
+    return genotype.mapped_codes(c, m)
+
+
+@query(
+    "WITH g AS (SELECT l_partkey AS ids, concat('s', l_suppkey) AS sample_name, unnest([l_linenumber % 3, CAST(l_quantity AS BIGINT) % 2])::INT AS code FROM lineitem) "
+    "SELECT sample_name, ids AS \"rsID\", (CASE WHEN code = p_size % 3 THEN 7 ELSE 0 END)::INT AS code, count(*)::DOUBLE AS dose FROM g LEFT JOIN part ON ids = p_partkey GROUP BY ALL"
+)
+def remapped_dose(spark, sf):
+    m = t(spark, sf, "part").select(F.col("p_partkey").alias("ids"), (F.col("p_size") % 3).alias("code1k"), F.lit(7).alias("code"))
+    return genotype.doses(_genotypes(spark, sf), m)
+
+
+@query(
+    "SELECT sample_name, concat('t', o_custkey % 10) AS trait, round(sum(CASE sample_name WHEN 'a' THEN (o_orderkey % 2) + 1 ELSE 1 END * (o_orderkey % 5 + 1)), 4)::DOUBLE AS prs_score FROM orders, (VALUES ('a'), ('b')) v(sample_name) "
+    "WHERE o_totalprice >= 100000 AND o_orderstatus <> 'P' GROUP BY ALL"
+)
+def risk_plan(spark, sf):
+    """Variants, header and catalog up to scores; samples a (1|0 or 1|1) and b (1|0)."""
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey")
+    lit = lambda x: F.lit(x).cast("string")
+    gt = F.array(F.concat(F.lit("1|"), (k % 2).cast("string")), F.lit("0|1"))
+    v = o.select(lit("f").alias("file_path"), lit("1").alias("chromosome"), k.cast("string").alias("position"), F.concat(F.lit("rs"), k).alias("ids"), lit("A").alias("references"), lit("C").alias("alts"), F.col("o_totalprice").cast("string").alias("qual"), F.when(F.col("o_orderstatus") == "P", "low").otherwise("PASS").alias("filter"), lit(".").alias("info"), lit("GT").alias("format"), gt.alias("samples"))
+    head = spark.createDataFrame([("f", "samples", "a\tb")], "file_path string, key string, value string")
+    c = o.select(k.alias("ids"), lit("C").alias("alt"), (k % 5 + 1).cast("float").alias("OR"), F.lit(1).alias("chromosome"), k.alias("position"), F.concat(F.lit("t"), F.col("o_custkey") % 10).alias("trait"), F.lit(None).cast("date").alias("date"), F.lit(1).cast("long").alias("pubmedID"))
+    return risk.scores(v, head, c, min_quality=100000, only_pass=True).select("sample_name", "trait", F.round("prs_score", 4).alias("prs_score"))
+
+
+# --- gene clusters, vectors, tools -----------------------------------------------------------------------------------
+@query("WITH m AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY ALL), p AS (SELECT DISTINCT a.user_id AS a, a.user_id + 1 AS b FROM m a), k AS (SELECT p.a, p.b, e.event_type, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y FROM p CROSS JOIN (SELECT DISTINCT event_type FROM events) e LEFT JOIN m x ON x.user_id = p.a AND x.event_type = e.event_type LEFT JOIN m y ON y.user_id = p.b AND y.event_type = e.event_type) SELECT a, round(sqrt(sum((x - y) * (x - y))), 6) AS distance FROM k WHERE b IN (SELECT user_id FROM m) GROUP BY a")
+def sparse_distance(spark, sf):
+    v = features.vectors(t(spark, sf, "events").select(F.col("user_id").alias("bgc_id"), F.col("event_type").alias("key"), "value"))
+    a, b = v.select(F.col("bgc_id").alias("a"), F.col("features").alias("x")), v.select((F.col("bgc_id") - 1).alias("a"), F.col("features").alias("y"))
+    return a.join(b, "a").select("a", F.round(vec.sparse_distance(F.col("x"), F.col("y")), 6).alias("distance"))
+
+
+@query("SELECT p_partkey AS cds_id, substring(p_name, 2, p_size % 6 + 1) AS aa FROM part WHERE p_size < 40")
+def hit_sequences(spark, sf):
+    p = t(spark, sf, "part")
+    cds = p.select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("aa_sequence"))
+    hits = p.where("p_size < 40").select(F.col("p_partkey").alias("cds_id"), F.lit(2).cast("long").alias("cds_from"), (F.col("p_size") % 6 + 2).cast("long").alias("cds_to"))
+    return features.hit_sequences(hits, cds).select("cds_id", "aa")
+
+
+@query("SELECT p_partkey AS cds_id, 1::BIGINT AS cds_from, length(p_name)::BIGINT AS cds_to, m AS hmm_acc, length(regexp_replace(p_name, concat('[^', m, ']'), '', 'g'))::FLOAT AS bitscore FROM part, (VALUES ('a'), ('e')) v(m) WHERE contains(p_name, m)")
+def domain_scan(spark, sf):
+    """A pluggable scorer that counts a letter stands for the profiles."""
+
+    def scorer():
+        return lambda s: [(1, len(s), m, m, float(s.count(m))) for m in "ae" if m in s]
+
+    cds = t(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("aa_sequence"))
+    return P.scan_domains(cds, scorer).drop("hmm_name")
+
+
+@query("SELECT c_mktsegment AS seq_id, count(*) AS members FROM customer WHERE c_custkey % 1000 >= 1 AND c_custkey % 1000 + 10 <= 800 GROUP BY 1")
+def cluster_database(spark, sf):
+    """Coding sequences within one cluster a contig, in a database that is created, loaded and asked."""
+    box = lambda a, b: F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(False).alias("start_partial"), F.lit(False).alias("end_partial"), F.lit(1).cast("tinyint").alias("strand")))
+    none = F.array().cast("array<struct<key:string,values:array<string>>>")
+    c = t(spark, sf, "customer")
+    at = F.col("c_custkey") % 1000
+    cds = c.select(F.lit("f").alias("file_path"), F.lit("f").alias("source_path"), F.col("c_mktsegment").alias("seq_id"), F.lit("CDS").alias("type"), box(at, at + 10).alias("location"), none.alias("qualifiers"))
+    product = F.array(F.struct(F.lit("product").alias("key"), F.array(F.lit("PKS")).alias("values")))
+    regions = c.select("c_mktsegment").distinct().select(F.lit("f"), F.lit("f"), "c_mktsegment", F.lit("region"), box(F.lit(1), F.lit(800)), product)
+    path = scratch(spark, "database")
+    P.ClusterDatabase.create(spark, path, features=cds.union(regions))
+    db = P.ClusterDatabase.load(spark, path)
+    return db.members().join(db.get("clusters").df.select(F.col("idx").alias("bgc_id"), "seq_id"), "bgc_id").groupBy("seq_id").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query("SELECT count(*) FILTER (n_nationkey % 5 = 0) AS skipped, count(*) FILTER (n_nationkey % 5 = 1) AS failed, count(*) FILTER (n_nationkey % 5 > 1) AS succeeded FROM nation")
+def runner_tally(spark, sf):
+    def task(path, output, params):
+        n = int(path.rpartition("/")[2])
+        if n % 5 == 1:
+            raise RuntimeError(path)
+        return -1 if n % 5 == 0 else 1
+
+    paths = [f"in/{r.n_nationkey}" for r in t(spark, sf, "nation").collect()]
+    return R.tally(runner.run_files(spark, paths, "out", task))

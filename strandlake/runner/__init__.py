@@ -5,7 +5,6 @@ A module offers ``run_module(input, output, params) -> -1 | 0 | 1`` (skipped, fa
 
 from __future__ import annotations
 
-import glob
 import importlib
 import os
 import shutil
@@ -15,24 +14,29 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import files
 from ..operators.reads import tally
+from ..sources.base import normal
 
 
 def run_files(spark: SparkSession, paths: list[str], output: str, task: Callable[[str, str, str], int], params: str = "") -> DataFrame:
-    """path, status of every file; an exception counts as failed."""
+    """path, status, message of every file, one task each; an exception counts as failed and gives its message."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            status = []
+            status, message = [], []
             for p in pdf.path:
                 try:
                     status.append(int(task(p, f"{output}/{os.path.basename(p)}", params)))
-                except Exception:
+                    message.append(None)
+                except Exception as e:  # a tool's failure is a result
                     status.append(0)
-            yield pd.DataFrame({"path": pdf.path, "status": status})
+                    message.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"path": pdf.path, "status": status, "message": pd.Series(message, dtype=object)})
 
-    df = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string").repartition(max(1, len(set(paths))), "path")
-    return df.mapInPandas(run, "path string, status int")
+    listed = sorted(set(paths))
+    df = spark.createDataFrame([(p,) for p in listed], "path string").repartition(max(1, len(listed)))
+    return df.mapInPandas(run, "path string, status int, message string")
 
 
 def command(argv: Callable[[str, str, str], list[str]], done: str | None = None) -> Callable[[str, str, str], int]:
@@ -49,16 +53,11 @@ def command(argv: Callable[[str, str, str], list[str]], done: str | None = None)
     return task
 
 
-#: Cluster detection by the tool of this name, if it is installed.
-antismash = command(lambda i, o, p: ["antismash", *(p.split() or ["--minimal", "--taxon", "bacteria", "--skip-sanitisation"]), "--output-dir", o, i], "regions.js")
-
-
 def main(args: list[str]) -> int:
     if len(args) < 3:
         print(__doc__)
         return 2
     module = importlib.import_module(args[0])
-    paths = [p for pattern in args[1].split(",") for p in glob.glob(pattern)]
     builder = SparkSession.builder.appName("strandlake")
     if os.environ.get("STRANDLAKE_MASTER"):
         builder = builder.master(os.environ["STRANDLAKE_MASTER"])
@@ -68,7 +67,9 @@ def main(args: list[str]) -> int:
             key, _, value = line.rstrip("\n").partition("\t")
             if key:
                 builder = builder.config(key, value)
-    results = run_files(builder.getOrCreate(), paths, args[2], module.run_module, " ".join(args[3:]))
+    spark = builder.getOrCreate()
+    paths = [p for pattern in args[1].split(",") for p in files.glob(spark, pattern)]
+    results = run_files(spark, [normal(p) for p in paths], args[2], module.run_module, " ".join(args[3:]))
     r = tally(results).first()
     print(f"skipped {r.skipped}, failed {r.failed}, done {r.succeeded}")
     return int(r.failed > 0)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import files
 from ..table import TypedTable
 
+#: Beside the Parquet of a big load: the files that it was made from, those without rows too.
+LISTED = "_strandlake_files"
 #: Separates the files in a concatenation.
 MARK = "\n>>>>>file_path:"
 
@@ -70,15 +72,16 @@ class Format:
         for p in paths:
             if not files.exists(spark, p) or files.is_directory(spark, p):
                 raise FileNotFoundError(p)
+        listed = "\n".join(sorted(map(normal, paths)))
         if intermediate and files.exists(spark, intermediate):
             df = spark.read.schema(self.table.schema()).parquet(intermediate)
-            have = {r.file_path for r in df.select("file_path").distinct().collect()}
-            if not have <= {normal(p) for p in paths}:
+            if files.read_text(spark, f"{intermediate}/{LISTED}") != listed:
                 raise FileExistsError(f"{intermediate} holds other files")
             return self.table(df, keep_idx=True)
         out = self._table(self._split(spark, list(paths)), skip_malformed)
         if intermediate:
             out.df.write.parquet(intermediate)
+            files.write_text(spark, f"{intermediate}/{LISTED}", listed)
             out = self.table(spark.read.schema(self.table.schema()).parquet(intermediate), keep_idx=True)
         return out
 

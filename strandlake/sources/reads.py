@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import pair_name
@@ -20,6 +20,37 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.xxhash64("f", "n").alias("id"), F.get("r", F.lit(0)).alias("name"), F.get("r", F.lit(1)).alias("seq"), F.get("r", F.lit(2)).alias("plus"), F.get("r", F.lit(3)).alias("qual"))
 
 
+def fastq_split(spark: SparkSession, path: str) -> DataFrame:
+    """The same records from plain files that are read in parts, whatever their size.
+
+    Lines are numbered within each part (its file and the offset at which it starts), the parts' counts give the number at
+    which each starts in its file, and every four lines meet as one record.
+    """
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("line"))
+    counts = d.groupBy("f", "b").agg(F.count(F.lit(1)).alias("lines"), F.min("m").alias("first"))
+    # a part is one task's run of lines, so its numbers ascend without gaps
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("f").alias("_f"), F.col("b").alias("_b"), (before - F.col("first")).alias("_shift"))
+    n = F.col("m") + F.col("_shift")
+    r = d.join(starts, (F.col("f") == F.col("_f")) & (F.col("b") == F.col("_b"))).select("f", F.floor(n / 4).alias("n"), (n % 4).alias("i"), "line")
+    one = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
+    r = r.groupBy("f", "n").agg(one(0).alias("name"), one(1).alias("seq"), one(2).alias("plus"), one(3).alias("qual")).where("qual is not null")
+    return r.select(F.xxhash64("f", "n").alias("id"), "name", "seq", "plus", "qual")
+
+
+def convert(spark: SparkSession, read1: str, output: str, read2: str | None = None, to: str = "pq", overwrite: bool = False, join_pairs: bool = False, sort: str | None = None) -> None:
+    """FASTQ files (or pairs of files) as Parquet (``pq``, sorted if asked), records a line (``lines``), or FASTA (``fa``)."""
+    d = load(spark, read1, read2, join_pairs=join_pairs)
+    if to == "pq":
+        save(d, output, sort, overwrite)
+    elif to == "lines":
+        write_fastq_lines(d if "plus" in d.columns else d.withColumn("plus", F.lit("+")), output, overwrite)
+    elif to == "fa":
+        write_fasta(d.withColumn("name", F.regexp_replace("name", "^@", "")), output, overwrite)
+    else:
+        raise NotImplementedError(to)
+
+
 def fastq_lines(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated records, one a line (the output of :func:`write_fastq_lines`): splittable at any size."""
     c = F.split("value", "\t")
