@@ -1,4 +1,4 @@
-"""Nucleotide and protein sequences: everything here stays on the JVM side but the windowed minimizer."""
+"""Nucleotide and protein sequences: everything here stays on the JVM side but the windowed minimizer and packed k-mers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUCLEOTIDE = "^[ATGCNatgcn]+$"
@@ -192,3 +193,68 @@ def minimizers(seq: Column, k: int, w: int) -> Column:
             yield s.map(lambda x: minimizer_codes(x, k, w))
 
     return run(seq)
+
+
+def batch_codes(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow text column: the distinct canonical k-mers (k <= 31) of each row as numbers of 2 bits a letter, ascending,
+    and their rows. The order of numbers is that of the strings; a window that leaves its sequence or holds another letter
+    than ACGT in either case gives none."""
+    u = np.uint64
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if offsets[-1] - offsets[0] < k:
+        return np.zeros(0, u), np.zeros(0, np.int64)
+    code = _CODE[np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    bad = np.concatenate(([0], np.cumsum(code == 4, dtype=np.int64)))
+    at = np.flatnonzero(bad[k:] == bad[: len(code) - k + 1])
+    row = np.searchsorted(offsets, at, "right") - 1
+    inside = at + k <= offsets[row + 1]
+    at, row = at[inside], row[inside]
+    forward, backward = np.zeros(len(at), u), np.zeros(len(at), u)
+    for j in range(k):
+        c = code[at + j].astype(u)
+        forward = forward << u(2) | c
+        backward |= (u(3) - c) << u(2 * j)
+    c = np.maximum(forward, backward)
+    order = np.lexsort((c, row))
+    c, row = c[order], row[order]
+    first = np.ones(len(c), bool)
+    first[1:] = (c[1:] != c[:-1]) | (row[1:] != row[:-1])
+    return c[first], row[first]
+
+
+def kmer_codes(rows: DataFrame, seq: str, k: int) -> DataFrame:
+    """code: the distinct canonical k-mers of each row's sequence, as :func:`batch_codes` gives them, a row each."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(batch_codes(batch.column(0), k)[0].view(np.int64))], ["code"])
+
+    return rows.select(seq).mapInArrow(run, "code long")
+
+
+def packed_kmers(seq: Column, k: int) -> Column:
+    """array<long> of the distinct canonical k-mers (k <= 31)."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        code, row = batch_codes(column, k)
+        offsets = np.searchsorted(row, np.arange(len(column) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code.view(np.int64)))
+
+    return run(seq)
+
+
+def kmer_strings(rows: DataFrame, k: int) -> DataFrame:
+    """kmer, kmer_count of ``code``, ``kmer_count``."""
+
+    def run(batches):
+        letters = np.frombuffer(b"ACGT", np.uint8)
+        for batch in batches:
+            code = batch.column(0).to_numpy().view(np.uint64)
+            text = np.stack([letters[(code >> np.uint64(2 * (k - 1 - j)) & np.uint64(3)).astype(np.int64)] for j in range(k)], axis=1)
+            offsets = pa.py_buffer(np.arange(len(code) + 1, dtype=np.int32) * np.int32(k))
+            yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(code), offsets, pa.py_buffer(np.ascontiguousarray(text))), batch.column(1)], ["kmer", "kmer_count"])
+
+    return rows.select("code", "kmer_count").mapInArrow(run, "kmer string, kmer_count long")

@@ -10,18 +10,26 @@ from ..functions import seq as S
 
 def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq", windows: int = 1) -> DataFrame:
     """kmer, kmer_count: in how many reads each canonical k-mer (or minimizer code, if ``windows`` > 1) occurs."""
+    many = lambda d: d.where(F.col("kmer_count") >= least) if least > 1 else d
+    if windows <= 1 and k <= 31:  # numbers are counted, strings made of those that are left
+        packed = S.kmer_codes(reads, seq, k).groupBy("code").agg(F.count(F.lit(1)).alias("kmer_count"))
+        return S.kmer_strings(many(packed), k)
     codes = S.distinct_kmers(F.col(seq), k) if windows <= 1 else S.minimizers(F.col(seq), k, windows)
-    out = reads.select(F.explode(codes).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("kmer_count"))
-    return out.where(F.col("kmer_count") >= least) if least > 1 else out
+    return many(reads.select(F.explode(codes).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("kmer_count")))
 
 
 def contaminated(reads: DataFrame, reference: DataFrame, k: int = 31, least: int = 0, id_: str = "id", seq: str = "seq", minimizer: bool = False) -> DataFrame:
     """The distinct ids of reads that share a k-mer with the reference (one that occurs in ``least`` reference rows)."""
     m = k // 2 + 1
-    codes = (lambda: S.minimizers(F.col(seq), m, max(k - m, 1))) if minimizer else (lambda: S.distinct_kmers(F.col(seq), k))
-    ref = reference.select(F.explode(codes()).alias("kmer"))
-    ref = ref.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("kmer") if least > 1 else ref.distinct()
-    return reads.select(id_, F.explode(codes()).alias("kmer")).join(ref, "kmer", "left_semi").select(id_).distinct()
+    if not minimizer and k <= 31:
+        # the id goes along with each code; a reference k-mer counts once a row
+        ref = S.kmer_codes(reference, seq, k).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, least)).select(F.col("code").alias("kmer"))
+        codes = reads.select(id_, F.explode(S.packed_kmers(F.col(seq), k)).alias("kmer"))
+    else:
+        of = (lambda: S.minimizers(F.col(seq), m, max(k - m, 1))) if minimizer else (lambda: S.distinct_kmers(F.col(seq), k))
+        ref = reference.select(F.explode(of()).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, least)).select("kmer")
+        codes = reads.select(id_, F.explode(of()).alias("kmer"))
+    return codes.join(ref, "kmer", "left_semi").select(id_).distinct()
 
 
 def contamination_filter(reads: DataFrame, reference: DataFrame, k: int = 31, least: int = 0, singletons: bool = True, minimizer: bool = False) -> DataFrame:
