@@ -49,7 +49,32 @@ SENTENCES = {
     "bsd_binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd_endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "reserved": ["All rights reserved"],
+    "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "bsd0_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "disclaims": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'],
+    "program_free": ["This program is free software"],
+    "library_free": ["This library is free software"],
+    "gpl_terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgpl_terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "v2_later": ["either version 2 of the License, or (at your option) any later version"],
+    "v21_later": ["either version 2.1 of the License, or (at your option) any later version"],
+    "v3_later": ["either version 3 of the License, or (at your option) any later version"],
+    "lgpl3_free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "mpl_form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "epl_terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "boost_name": ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "unlicense_free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense_anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib_event": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "ofl_font": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "eupl_name": ["Licensed under the EUPL", "Licensed under the European Union Public Licence"],
 }
+# Licence identifiers that files name in a line of their own.
+SPDX = "MIT MIT-0 Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 ISC 0BSD BSD-2-Clause BSD-3-Clause Unlicense Zlib CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 OFL-1.1 EUPL-1.2 Artistic-2.0 PostgreSQL WTFPL".split()
+SENTENCES |= {f"spdx:{x}": [f"SPDX-License-Identifier: {x}"] for x in SPDX}
 
 #: (licence, identifiers in order)
 RULES = [
@@ -71,7 +96,27 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc_by_sa"]),
     ("CC0-1.0", ["cc0"]),
     ("LicenseRef-proprietary", ["reserved"]),
-]
+    ("ISC", ["isc_grant", "disclaims"]),
+    ("ISC", ["isc_grant"]),
+    ("0BSD", ["bsd0_grant", "disclaims"]),
+    ("0BSD", ["bsd0_grant"]),
+    ("GPL-2.0-or-later", ["program_free", "gpl_terms", "v2_later", "gpl_hope"]),
+    ("GPL-2.0-or-later", ["program_free", "gpl_terms", "v2_later"]),
+    ("GPL-3.0-or-later", ["program_free", "gpl_terms", "v3_later"]),
+    ("LGPL-2.1-or-later", ["library_free", "lgpl_terms", "v21_later"]),
+    ("LGPL-3.0-or-later", ["library_free", "lgpl_terms", "v3_later"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl_free"]),
+    ("MPL-2.0", ["mpl_form"]),
+    ("EPL-2.0", ["epl_terms"]),
+    ("BSL-1.0", ["boost_name"]),
+    ("Unlicense", ["unlicense_free", "unlicense_anyone"]),
+    ("Unlicense", ["unlicense_free"]),
+    ("Zlib", ["zlib_as_is", "zlib_event", "zlib_grant"]),
+    ("OFL-1.1", ["ofl_font"]),
+    ("EUPL-1.2", ["eupl_name"]),
+] + [(x, [f"spdx:{x}"]) for x in SPDX]
 
 #: Each known sentence holds one of these; a document with none needs no scan.
 HINT = "(?i)licen[cs]e|copyright|software|permission|redistribut|reserved|warrant"

@@ -81,3 +81,28 @@ def test_wrapped_licences(spark):
 def test_joining_needs_whole_sentences(spark):
     texts = ["The MIT. License", "The MIT\n\nLicense (MIT)", "not the MIT\nLicense", "MIT\nLicense plates"]
     assert L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
+
+
+def test_texts_wrapped_and_commented(spark):
+    """Rules of several sentences and of one, each wrapped at 70 columns, plain and behind comment marks."""
+    import textwrap
+
+    texts, want = [], []
+    for name, ids in L.RULES:
+        if "spdx" in ids[0] or len({n for n, other in L.RULES if other[0] == ids[0] and len(other) > len(ids)}):
+            continue
+        whole = ""
+        for i in ids:
+            sentence = L.SENTENCES[i][0].rstrip(":.")
+            whole += sentence + ("; " if i.endswith(("_free", "_terms")) and len(ids) > 2 and i not in ("unlicense_free",) else ". ")
+        for mark in ("", "# ", " * ", "// "):
+            texts.append("Some words before.\n" + "\n".join(mark + x for x in textwrap.wrap(whole, 70)) + "\nThe end")
+            want.append(name)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in L.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert len(set(want)) >= 20
+    assert [(i, got.get(i)) for i in range(len(want)) if got.get(i) != [want[i]]] == []
+    spdx = spark.createDataFrame([(i, f"x = 1  # before\n// SPDX-License-Identifier: {x}\nint y;") for i, x in enumerate(L.SPDX)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in L.scan(spdx).collect()} == dict(enumerate(L.SPDX))
