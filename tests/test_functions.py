@@ -112,3 +112,7 @@ def test_sql_functions(spark):
     assert "vec_cosine" in register(spark)
     r = spark.sql("SELECT gc_percent('GGAA') a, vec_euclid(array(0D, 0D), array(3D, 4D)) b, reverse_complement('AAC') c, l2_normalize(map('x', 2D))['x'] d, mean_quality('I') e").first()
     assert tuple(r) == (50.0, -4.0, "GTT", 1.0, 40.0)
+
+
+def test_ambiguous_codons(spark):
+    assert one(spark, a=S.translate(F.lit("GCNRAYSARATHTARNNNACG"), F.lit(1))) == "ABZI*XT"

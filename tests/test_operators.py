@@ -102,6 +102,8 @@ def test_label_propagation(spark):
     labels = {r.node: r.label for r in graph.label_propagation(e, 10).collect()}
     assert labels[6] == 4 and set(labels) == {2, 3, 6, 9} and labels[9] == 1
     assert {r.node: r.label for r in graph.label_propagation(e.drop("weight"), 10).collect()} == labels
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(1, 7)], "src long, dst long, weight double")
+    assert {r.node: r.label for r in graph.label_propagation(line, 2).collect()}[4] == 1  # two rounds and the last vote
     found = graph.cluster(e, least_weight=0.5)
     assert graph.cluster_stats(found).first().clusters == found.count()
     v = spark.createDataFrame([(i, [float(i % 3), float(i % 2), 1.0]) for i in range(12)], "id long, v array<double>")

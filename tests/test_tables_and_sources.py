@@ -69,6 +69,9 @@ def test_four_ways_to_load(spark, tmp_path):
     assert Pairs().load_big(spark, [paths[0], paths[0]]).df.count() == 8
     big = Pairs().load_big(spark, paths, f"{tmp_path}/keep")
     assert big.df.count() == 8 and Pairs().load_big(spark, paths, f"{tmp_path}/keep").df.count() == 8
+    for other in ([paths[0]], [*paths, paths[0]]):
+        with pytest.raises(FileExistsError):
+            Pairs().load_big(spark, other, f"{tmp_path}/keep")
     with pytest.raises(FileNotFoundError):
         Pairs().load_big(spark, [f"{tmp_path}/none"])
     with pytest.raises(TypeError):
