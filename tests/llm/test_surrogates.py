@@ -91,3 +91,54 @@ def test_more_names_than_listed_replacements(spark):
     out = [r.text for r in S.replace(docs, "k").collect()]
     assert len(set(out)) == 150 and not set(out) & set(names)
     assert all(t.split()[0] in S.GIVEN["greek", "f"] and len(t.split()) == 2 for t in out)
+
+
+def test_spellings_of_one_entity(spark):
+    """Spellings share a replacement, each in its own format; probes of formats beyond the plain ones are found."""
+    groups = [
+        ["+1 (988) 555-2485", "+1 988 555 2485", "+19885552485"],
+        ["+44 20 7946 0958", "+442079460958"],
+        ["mary.ö@example.com", "Mary.Ö@Example.com", "MARY.ö@EXAMPLE.com"],
+        ["4539 1488 0343 6467", "4539148803436467", "4539-1488-0343-6467"],
+        ["Mary Smith", "MARY SMITH"],
+        ["Ms Smith", "Ms. Smith", "Dr Smith"],
+        ["(988) 555-2485", "(988)555-2485"],
+        ["123-45-6789"],
+        ["Priya Patel", "PRIYA PATEL"],
+        ["Wei Zhang"],
+    ]
+    flat = [x for g in groups for x in g]
+    docs = spark.createDataFrame([(i, f"so {x}, then") for i, x in enumerate(flat)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.replace(docs, "k").collect()}
+    assert all(r.n_entities == 1 for r in rows.values()), [flat[i] for i, r in rows.items() if r.n_entities != 1]
+    new = dict(zip(flat, (rows[i].text[3:-6] for i in range(len(flat))), strict=True))
+    assert len(set(new.values())) == len(flat) and not set(new.values()) & set(flat)
+    digits = lambda s: re.sub(r"\D", "", s)
+    for g in groups:
+        kinds = {rows[flat.index(x)].kinds[0] for x in g}
+        assert len(kinds) == 1
+        if kinds & {"phone", "card", "social"}:
+            assert len({digits(new[x]) for x in g}) == 1 and all(shape(x) == shape(new[x]) for x in g)
+        elif kinds == {"email"}:
+            assert len({new[x].lower() for x in g}) == 1 and all(shape(x) == shape(new[x]) for x in g)
+        elif kinds == {"name"}:
+            assert len({new[x].lower() for x in g}) == 1 and all(x.isupper() == new[x].isupper() for x in g)
+        else:
+            assert len({new[x].split()[-1] for x in g}) == 1 and all(x.split()[0] == new[x].split()[0] for x in g)
+    assert new["+44 20 7946 0958"].startswith("+44 ") and luhn(new["4539148803436467"])
+
+
+def test_replacements_do_not_run_out(spark):
+    """More names of one script and gender, and more one-digit addresses, than replacements of the first attempts."""
+    letters = {"Mary": "abcdefghijklmnopqrst", "Иван": "абвгдежзиклмнопрстуф", "Ελένη": "αβγδεζηθικλμνξοπρτυφ"}
+    texts = [f"{g} {(a[i % 20]).upper()}{a[i // 20 % 20]}{a[i // 400]}" for g, a in letters.items() for i in range(8000)]
+    texts += [f"{i // 729 + 1}.{i // 81 % 9 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1}" for i in range(6561)]
+    out = [r.text for r in S.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
+def test_clashing_columns(spark):
+    docs = nasty(spark).selectExpr("*", "1 as n_entities", "'x' as kinds", "2 as _sur", "3 as _id")
+    out = S.replace(docs, "k")
+    assert out.columns == [*docs.columns, "_n_entities", "_kinds"]
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
