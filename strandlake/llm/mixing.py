@@ -101,12 +101,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The rows of one document are told from others by doc_id and the text's hash, so repeated rows stay repeated.
     """
-    key, part, n, size = fresh(docs, "_key", "_part", "_n", "_size")
+    key, part, n, size, own = fresh(docs, "_key", "_part", "_n", "_size", "_mine")
     mine = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"))
     t = taken(docs).groupBy("key_hash").agg(F.sum("taken").alias(n), F.sum("size").alias(size), F.count(F.lit(1)).alias(part)).where(F.col(n) > 0)
     # equal rows share what they have been given evenly: rows of one key are the same text
     t = t.select(F.col("key_hash").alias(key), F.floor(F.col(n) / F.col(part)).alias(n), F.floor(F.col(size) / F.col(part)).alias(size))
-    d = docs.withColumn("_mine", mine).join(t, F.col("_mine") == F.col(key)).drop("_mine", key)
+    d = docs.withColumn(own, mine).join(t, F.col(own) == F.col(key)).drop(own, key)
     lengths = F.concat(F.array_repeat(F.col(size), F.floor(F.col(n) / F.col(size)).cast("int")), F.when(F.col(n) % F.col(size) > 0, F.array(F.col(n) % F.col(size))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn(part, F.explode(lengths))
     text = F.when(F.col(part) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(part).cast("int")), " "))
