@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing, one after the other over ``documents``."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing, one after the other over ``documents``.
+
+Nulls and empty texts go at the quality rules (they have fewer words than these ask for); a null doc_id is judged like any
+other. Rows that repeat are one document to line dedup and near-dedup, which keep or drop them together; the mix repeats rows,
+and packing packs each on its own. Ties are broken by the smallest doc_id, in the mix by the key, then the doc_id. Long texts
+pass whole. Extra columns, whatever their names, are kept up to the last stage, which returns its own. An empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +25,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Shingle hashes, keyed sampling and the tokenizer are outside SQL; tests hold every stage against a brute-force version.
+#: Shingle hashes, keyed sampling and the tokenizer are outside SQL; tests/llm/test_pipeline.py holds
+#: what each stage makes of its input within run() against a brute-force version.
 ORACLE_SQL = None
 
 
