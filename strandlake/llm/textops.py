@@ -148,8 +148,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     # sums by 2^64 alone agree on some strings of strong structure (of 1024 letters and more), whatever the multiplier
     c = _modular_sums(_LOWER[data] if lower else data)
     prime = U64(_PRIME)
-    # both sides of a difference are reduced first, as the running sum is reduced now and then
-    other = (c[ends] % prime + prime - c[starts] % prime) % prime * _modular("down", len(data))[starts].astype(U64) % prime
+    # the running sum is reduced now and then, so a difference may be negative: a multiple of the prime above 2^63 is added
+    other = (c[ends] - c[starts] + prime * U64((1 << 63) // _PRIME + 1)) % prime * _modular("down", len(data))[starts].astype(U64) % prime
     return mix(h ^ other * _ODD)
 
 

@@ -9,6 +9,7 @@ places (other white space, apostrophes, other scripts) are not cut.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -21,41 +22,49 @@ REMEMBERED = 150_000
 #: Bytes of text that are best encoded at once: a piece is looked up once for all its occurrences there.
 ENCODED = 4 << 20
 
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-_LEAD = _VISIBLE.copy()  # first bytes of characters that are surely no white space
-_LEAD[0xC3:0xE0] = True
-_ALNUM = np.zeros(256, bool)
+#: What a byte may be, in one table: a visible ASCII character; the first byte of one that is surely no white space; an ASCII
+#: letter or digit; punctuation but the apostrophe; a space; a line feed; 0xC3; after that, the second byte of a letter.
+VISIBLE, LEAD, ALNUM, PUNCTUATION, SPACE, FEED, C3, LATIN = (1 << i for i in range(8))
+_BITS = np.zeros(256, np.uint8)
+_BITS[0x21:0x7F] |= VISIBLE | LEAD | PUNCTUATION
+_BITS[0xC3:0xE0] |= LEAD
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
-    _ALNUM[_a:_b] = True
-_PUNCTUATION = _VISIBLE & ~_ALNUM
-_PUNCTUATION[ord("'")] = False
-_LATIN = np.zeros(256, bool)  # second bytes, after 0xC3, of letters
-_LATIN[0x80:0xC0] = True
-_LATIN[[0x97, 0xB7]] = False
+    _BITS[_a:_b] ^= ALNUM | PUNCTUATION
+_BITS[ord("'")] ^= PUNCTUATION
+_BITS[32] |= SPACE
+_BITS[10] |= FEED
+_BITS[0xC3] |= C3
+_BITS[0x80:0xC0] |= LATIN
+_BITS[[0x97, 0xB7]] ^= LATIN
+#: ASCII without white space, and runs of visible ASCII.
+_SOLID, _RUNS = re.compile(r"[\x00-\x08\x0e-\x1b!-\x7f]+"), re.compile("[!-~]+")
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pieces; each ends where the next one starts."""
     n = len(data)
-    at = np.zeros(n + 1, bool)
-    if n:
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        one = np.zeros(n + 3, np.uint8)  # one[i + 2] is data[i]; zeros around stand for "no character"
-        one[2 : n + 2] = data
-        back, back2, ahead = one[1 : n + 1].copy(), one[0:n].copy(), one[3 : n + 3].copy()
-        back[first[:n]] = 0
-        back2[first[:n]] = 0
-        inner = offsets[(offsets > 0) & (offsets < n)]
-        back2[np.minimum(inner + 1, n - 1)] = 0
-        ahead[inner - 1] = 0
-        space, feed = data == 32, data == 10
-        at[:n] = (space & (_VISIBLE[back] | _LEAD[ahead])) | (feed & _VISIBLE[back])
-        at[:n] |= (back == 10) & _VISIBLE[back2] & _LEAD[data]
-        at[:n] |= _PUNCTUATION[data] & (_ALNUM[back] | ((back2 == 0xC3) & _LATIN[back]))
-        at[:n] |= first[:n]
-    return np.flatnonzero(at[:n])
+    if not n:
+        return np.zeros(0, np.int64)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    one = np.zeros(n + 3, np.uint8)  # one[i + 2] is of data[i]; zeros around stand for "no character"
+    here = one[2 : n + 2]
+    here[:] = _BITS[data]
+    back, back2, ahead = one[1 : n + 1].copy(), one[0:n].copy(), one[3 : n + 3].copy()
+    back[first[:n]] = 0
+    back2[first[:n]] = 0
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    back2[np.minimum(inner + 1, n - 1)] = 0
+    ahead[inner - 1] = 0
+
+    def some(x: np.ndarray, flag: int) -> np.ndarray:
+        return (x & np.uint8(flag)) != 0
+
+    at = some(here, SPACE) & (some(back, VISIBLE) | some(ahead, LEAD))
+    at |= some(here, FEED) & some(back, VISIBLE)
+    at |= some(back, FEED) & some(back2, VISIBLE) & some(here, LEAD)
+    at |= some(here, PUNCTUATION) & (some(back, ALNUM) | (some(back2, C3) & some(back, LATIN)))
+    return np.flatnonzero(at | first[:n])
 
 
 class Generation:
@@ -110,7 +119,10 @@ class Encoder:
             return False
         if self.separator == "\n":
             rest = piece[1:] if piece[0] == " " else piece
-            return rest.isascii() and not any(c.isspace() for c in rest) or all(c.isalpha() or ("!" <= c <= "~") for c in rest)
+            if _SOLID.fullmatch(rest):
+                return True
+            left = _RUNS.sub("", rest)
+            return not left or left.isalpha()
         return "0" not in piece
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
