@@ -65,7 +65,8 @@ SOCIAL = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{4}[ -]?){3}\d{4}(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 KINDS = {"email": EMAIL, "secret": SECRET, "access_key": ACCESS, "phone": PHONE, "card": CARD, "social": SOCIAL, "ip": IP, "surname": TITLED, "name": f"{NAME}|{CAPITALS}"}
-ANY = "|".join(KINDS.values())
+#: Every pattern starts outside a word: said once, as most places of a text are inside one.
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 
 #: Letters that stand for each other, by script and case.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -246,10 +247,11 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows = lists.select(F.col(number).alias("number"), F.posexplode(found).alias("pos", "entity"))
     table = entity_table(rows.select("entity"), key)
     met = rows.join(table, "entity").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate", "kind"))).alias("m"))
-    met = met.select(F.col("number").alias(number), F.col("m.surrogate").alias(sur), F.col("m.kind").alias(kind))
+    # written down, and met by a sort whatever the size: a text in very many rows can be split in that join
+    met = stash(met.select(F.col("number").alias(number), F.col("m.surrogate").alias(sur), F.col("m.kind").alias(kind)))
     parts = F.split(F.col(text), ANY, -1)
     rebuilt = F.array_join(F.zip_with(parts, F.col(sur), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    out = marked.join(met, F.col(mark) == F.col(number), "left")
+    out = marked.join(met.hint("merge"), F.col(mark) == F.col(number), "left")
     new = F.when(F.col(sur).isNotNull(), rebuilt).otherwise(F.col(text)).alias(text)
     counts = F.coalesce(F.size(sur), F.lit(0)).cast("long").alias(n_entities), F.coalesce(F.col(kind), F.array().cast("array<string>")).alias(kinds)
     return out.select(*(new if c == text else F.col(c) for c in docs.columns), *counts)
