@@ -38,7 +38,8 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
 def l2_normalize(v: Column) -> Column:
     """A map's values over their Euclidean norm; null values for a zero vector."""
     norm = F.sqrt(_sum(F.transform(F.map_values(v), lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform_values(v, lambda _, x: F.try_divide(x.cast("double"), norm))
+    # bound to a name, or every value would have the norm computed anew
+    return F.get(F.transform(F.array(norm), lambda n: F.transform_values(v, lambda _, x: F.try_divide(x.cast("double"), n))), F.lit(0))
 
 
 def sparse_distance(a: Column, b: Column) -> Column:

@@ -1,3 +1,8 @@
+import random
+import time
+from fractions import Fraction
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +102,57 @@ def test_vectors_and_families(spark):
     assert [n for n, _ in features.flat_birch([{"a": 1.0}, {"a": 1.1}, {"b": 1.0}, {"a": 1.0}], 0.4)] == [3, 1]
 
 
+def literal_birch(points, threshold):
+    """Flat BIRCH in exact arithmetic, a sub-cluster at a time."""
+    made = []
+    for p in points:
+        p = {k: Fraction(v) for k, v in p.items()}
+        own = sum(v * v for v in p.values())
+        if made:
+            n, total, square = near = min(made, key=lambda c: sum((c[1].get(k, 0) / c[0] - p.get(k, 0)) ** 2 for k in c[1].keys() | p.keys()))
+            merged = {k: total.get(k, 0) + p.get(k, 0) for k in total.keys() | p.keys()}
+            if (square + own) / (n + 1) - sum((v / (n + 1)) ** 2 for v in merged.values()) <= Fraction(threshold) ** 2:
+                near[:] = n + 1, merged, square + own
+                continue
+        made.append([1, p, own])
+    return [(n, {k: float(v / n) for k, v in total.items() if v > 0}) for n, total, _ in made]
+
+
+@pytest.mark.parametrize("block,slab", [(256, 1024), (3, 2)])
+def test_birch_by_blocks(block, slab, monkeypatch):
+    """Blocks of points give what one point after another gives, ties and empty points included."""
+    monkeypatch.setattr(features, "BLOCK", block)
+    monkeypatch.setattr(features, "SLAB", slab)
+    random.seed(block)
+    for width, threshold in ((1, 0.3123), (3, 0.5123), (8, 0.7712), (40, 0.9123)):
+        points = [{f"k{random.randrange(width)}": random.choice([1.0, 0.5, -1.0, 0.0, 0.125]) for _ in range(random.randint(0, 4))} for _ in range(70)]
+        got, want = features.flat_birch(points, threshold), literal_birch(points, threshold)
+        assert [n for n, _ in got] == [n for n, _ in want]
+        assert [c for _, c in got] == [pytest.approx(c, abs=1e-9) for _, c in want]
+
+
+def test_birch_centroids_of_many_points(spark):
+    """8000 vectors that open thousands of sub-clusters: dictionaries took minutes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 64))
+    x = np.concatenate((x, x[:500] + 0.01))
+    rows = spark.createDataFrame([(i, {str(k): v for k, v in enumerate(r)}) for i, r in enumerate(x.tolist())], "bgc_id long, features map<string,double>").repartition(8)
+    began = time.monotonic()
+    got = features.centroids(rows, 0.2, 1).collect()
+    assert time.monotonic() - began < 60
+    assert [r.gcf_id for r in sorted(got)] == list(range(8000))  # the near copies joined the first ones
+
+
+def test_birch_of_rows_that_share_an_id(spark):
+    """Null, equal and missing ids give the same centroids however the rows come."""
+    rows = [(i % 3 or None, {"a": 1.0, f"k{i}": 0.5 + i / 20}) for i in range(12)] + [(5, {}), (6, None), (7, {"z": 0.0, "a": None}), (8, {"a": None, "b": 2.0})]
+    found = []
+    for turn in (rows, rows[::-1]):
+        d = spark.createDataFrame(turn, "bgc_id long, features map<string,double>").coalesce(1)
+        found.append(sorted((r.gcf_id, sorted(r.features.items())) for r in features.centroids(d, 0.3, 2).collect()))
+    assert found[0] == found[1] and len(found[0]) > 2
+
+
 def test_label_propagation(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (5, 6, 2.0), (4, 6, 2.0), (1, 9, 1.0)], "src long, dst long, weight double")
     labels = {r.node: r.label for r in graph.label_propagation(e, 10).collect()}
