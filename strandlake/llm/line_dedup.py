@@ -24,6 +24,7 @@ An empty table gives an empty result. Extra columns are kept by :func:`stage` an
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom
 from .common import cut, documents, fresh, stash
 from .components import components
-from .textops import _BYTE, U64, _power, blocks, mix, span_hashes, tidy
+from .textops import _BYTE, _SPACE, U64, _power, blocks, mix, span_hashes, tidy
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,9 @@ class LineDedup:
 
 
 MAP_BITS = 512
-#: Bytes of text worked on at once: every byte takes some twenty words of scratch here.
-BLOCK = 1 << 20
+#: Bytes of text worked on at once: a byte takes some twenty words of scratch where keys or maps are made, which should stay in
+#: a core's cache.
+BLOCK = 1 << 18
 #: Hashes of lines that a task remembers having sent keys for.
 SEEN = 1 << 20
 
@@ -80,12 +82,11 @@ def line_blocks(column: pa.Array):
 
 
 class Lines:
-    """The non-blank lines of a block of texts: code point ranges, numbers within their text, hashes."""
+    """The non-blank lines of a block of texts: byte ranges, numbers within their text, lengths in code points, hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(data)
         self.data = data
-        self.cp = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)  # byte offsets of code points
         feed = np.flatnonzero(data == 10)
         # a line starts at each text and after each line feed; it ends before the next feed or text
         starts = np.concatenate((offsets[:-1], feed + 1))
@@ -97,36 +98,59 @@ class Lines:
         own_end = offsets[owner + 1]
         nxt = np.append(feed, n)[np.searchsorted(feed, starts)]
         ends = np.minimum(nxt, own_end)
-        solid = np.concatenate(([0], np.cumsum((data > 32) | ((data < 9) | ((data > 13) & (data < 32))))))
-        keep = solid[ends] > solid[starts]
+        keep = ends > starts
+        # most lines start with a character that is no white space; the others are looked at as a whole
+        doubt = np.flatnonzero(keep)
+        doubt = doubt[_SPACE[data[starts[doubt]]]]
+        if len(doubt):
+            size = ends[doubt] - starts[doubt]
+            before = np.cumsum(size) - size
+            at = np.repeat(starts[doubt] - before, size) + np.arange(size.sum())
+            keep[doubt] = np.add.reduceat(~_SPACE[data[at]], before, dtype=np.int64) > 0
         self.starts, self.ends, self.owner, self.number = starts[keep], ends[keep], owner[keep], number[keep]
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * _power("up", n), out=self.sums[1:]) if n else None
-        self.down = _power("down", n + 1)
-        self.a, self.b = np.searchsorted(self.cp, self.starts), np.searchsorted(self.cp, self.ends)
-        self.length = self.b - self.a
-        self.hash = span_hashes(data, self.starts, self.ends)
+        further = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that start no code point
+        self.length = self.ends - self.starts - (np.searchsorted(further, self.ends) - np.searchsorted(further, self.starts))
 
-    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of code points a..b."""
-        x, y = self.cp[a], self.cp[b]
-        return mix((self.sums[y] - self.sums[x]) * self.down[x])
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends)
 
     def maps(self, rows: np.ndarray) -> np.ndarray:
         """512-bit maps, packed, of the lines ``rows``: of each hashed pair of code points, whether it occurs an odd number of
         times. An edit takes away two pairs at most and adds two, so it flips four bits at most."""
-        if not len(self.cp) or len(self.cp) < 3:
+        letters = Letters(self, rows)
+        if len(letters.cp) < 3:
             return np.zeros((len(rows), MAP_BITS // 8), np.uint8)
-        i = np.arange(len(self.cp) - 1)
-        point = mix((self.sums[self.cp[i + 1]] - self.sums[self.cp[i]]) * self.down[self.cp[i]])
+        i = np.arange(len(letters.cp) - 1)
+        point = letters.part(i, i + 1)
         pair = ((point[:-1] * U64(3) + (point[1:] << U64(1))) * U64(0x9E3779B97F4A7C15) >> U64(55)).astype(np.int64)
         n = np.maximum(self.length[rows] - 1, 0)
         before = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(self.a[rows] - before[:-1], n) + np.arange(before[-1])
+        at = np.repeat(letters.a - before[:-1], n) + np.arange(before[-1])
         counts = np.bincount(np.repeat(np.arange(len(rows)) * MAP_BITS, n) + pair[at], minlength=len(rows) * MAP_BITS)
         return np.packbits((counts & 1).astype(bool).reshape(len(rows), MAP_BITS), axis=1)
 
 
+class Letters:
+    """The code points of some lines, one line after another, with hashes of their runs; line i has those from ``a[i]`` on."""
+
+    def __init__(self, lines: Lines, rows: np.ndarray):
+        size = lines.ends[rows] - lines.starts[rows]
+        before = np.cumsum(size) - size
+        data = lines.data[np.repeat(lines.starts[rows] - before, size) + np.arange(size.sum())] if len(rows) else lines.data[:0]
+        n = len(data)
+        self.cp = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)  # byte offsets of code points
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[data] * _power("up", n), out=self.sums[1:]) if n else None
+        self.down = _power("down", n + 1)
+        self.a = np.cumsum(lines.length[rows]) - lines.length[rows]
+
+    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of code points a..b."""
+        x, y = self.cp[a], self.cp[b]
+        return mix((self.sums[y] - self.sums[x]) * self.down[x])
+
+
 def segments(length: np.ndarray, i: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the i-th (from 0) of t + 1 even segments; the longer ones come last."""
     base, extra = length // (t + 1), length % (t + 1)
@@ -137,14 +161,13 @@ def segments(length: np.ndarray, i: int, t: np.ndarray) -> tuple[np.ndarray, np.
 def keys_of(lines: Lines, rows: np.ndarray, p: LineDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, whether an index key) of the lines ``rows``: their own segments, and the substrings to probe with."""
     keys, where, own = [np.zeros(0, U64)], [np.zeros(0, int)], [np.zeros(0, bool)]
-    size = lines.length[rows]
+    size, letters = lines.length[rows], Letters(lines, rows)
 
     def add(l_: np.ndarray, i: int, a: np.ndarray, n: np.ndarray, ok: np.ndarray, index: bool) -> None:
-        r = rows[ok]
-        h = lines.part(lines.a[r] + a[ok], lines.a[r] + a[ok] + n[ok])
-        keys.append(mix(h + l_[ok].astype(U64) * U64(0xD1B54A32D192ED03) + U64(i)))
-        where.append(r)
-        own.append(np.full(len(r), index))
+        at, n = letters.a[ok] + a[ok], n[ok]
+        keys.append(mix(letters.part(at, at + n) + l_[ok].astype(U64) * U64(0xD1B54A32D192ED03) + U64(i)))
+        where.append(rows[ok])
+        own.append(np.full(len(n), index))
 
     for d in range(p.threshold + 1):
         l_ = size - d
@@ -311,7 +334,8 @@ def edit_links(docs: DataFrame, params: LineDedup | None = None) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, mark: str) -> DataFrame:
-    """doc_id, dk, line, h, size (code points): every non-blank line; the column ``mark`` (a hash of the text) becomes ``dk``."""
+    """doc_id, dk, line, h, size (code points): every non-blank line; the column ``mark`` (a hash of the text) becomes ``dk``.
+    Equal rows give equal lines."""
 
     @tidy
     def run(batches):
@@ -321,7 +345,7 @@ def occurrences(docs: DataFrame, mark: str) -> DataFrame:
                 at = pa.array(lines.owner + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((lines.number + number).astype(np.int32)), pa.array(lines.hash.view(np.int64)), pa.array(lines.length.astype(np.int32))], ["doc_id", "dk", "line", "h", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("dk"), "text").distinct().mapInArrow(run, "doc_id long, dk long, line int, h long, size int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("dk"), "text").mapInArrow(run, "doc_id long, dk long, line int, h long, size int")
 
 
 COUNTS = ["n_lines", "n_dropped", "n_linked", "n_links", "n_shared"]
@@ -345,7 +369,9 @@ def dedup(docs: DataFrame, params: LineDedup | None = None, names: list[str] | N
     rows = occurrences(d, mark)
     rows = rows.join(of_line, rows["h"] == of_line["id"], "left").select("doc_id", "dk", "line", "size", F.coalesce("component", "h").alias("cls"), F.coalesce("links", F.lit(0)).alias("links"))
     # one row for each class of a document, then for each class: how many documents, and the first
-    per_doc = stash(rows.groupBy("cls", "doc_id", "dk").agg(F.min("line").alias("keep"), F.collect_list("line").alias("lines"), F.count_if(F.col("links") > 0).alias("linked"), F.sum("links").alias("links"), F.max("size").alias("size")))
+    per_doc = rows.groupBy("cls", "doc_id", "dk").agg(F.min("line").alias("keep"), F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("met"), F.count_if(F.col("links") > 0).alias("linked"), F.sum("links").alias("links"), F.max("size").alias("size"))
+    times = F.col("met") / F.size("lines")  # how many equal rows there are
+    per_doc = stash(per_doc.withColumns({c: (F.col(c) / times).cast("long") for c in ("linked", "links")}).drop("met"))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "dk")
     common = per_doc.groupBy("cls").agg(F.count(F.lit(1)).alias("docs"), F.min(order).alias("first"), F.max("size").alias("size")).where("docs > 1")
     once = (F.col("docs") >= p.min_docs) | (F.col("size") >= p.long_chars)

@@ -19,15 +19,14 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _P = U64(0x9E3779B97F4A7C15)
 _P_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _powers: dict[str, np.ndarray] = {}
-#: A prime modulus and a generator of its units: sums by it have no structure in common with those by 2^64.
-_PRIME, _ROOT = (1 << 31) - 1, 16807
+#: The low bytes of a word, by their number.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _ODD = U64(0x9FB21C651E98DF25)
 _libc = ctypes.CDLL(None)
 
@@ -72,33 +71,6 @@ def _power(name: str, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def _modular(name: str, n: int) -> np.ndarray:
-    """Powers of the root or of its inverse modulo the prime, by doubling."""
-    name = f"{name} modular"
-    if name not in _powers or len(_powers[name]) < n:
-        root = _ROOT if name.startswith("up") else pow(_ROOT, -1, _PRIME)
-        size = max(n, BLOCK + 1)
-        p, done = np.ones(size, np.uint32), 1
-        while done < size:
-            more = min(done, size - done)
-            p[done : done + more] = p[:more].astype(U64) * U64(pow(root, done, _PRIME)) % U64(_PRIME)
-            done += more
-        if n > KEPT + 1:
-            return p[:n]
-        _powers[name] = p
-    return _powers[name][:n]
-
-
-def _modular_sums(data: np.ndarray) -> np.ndarray:
-    """Running sums of (byte + 1) times the powers; kept below 2^63 by reducing the sum at every 2^24 bytes."""
-    c, up = np.zeros(len(data) + 1, U64), _modular("up", len(data))
-    for low in range(0, len(data), 1 << 24):
-        part = slice(low, min(low + (1 << 24), len(data)))
-        np.cumsum((data[part].astype(U64) + U64(1)) * up[part], out=c[part.start + 1 : part.stop + 1])
-        c[part.start + 1 : part.stop + 1] += c[part.start] % U64(_PRIME)
-    return c
-
-
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets of the texts in them) for runs of texts of about ``size`` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -139,18 +111,29 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each data[start:end], equal for equal bytes (for bytes equal but for A-Z if ``lower``)."""
+    """A hash of each data[start:end], equal for equal bytes (for bytes equal but for A-Z if ``lower``): eight bytes at a time
+    go through :func:`mix` with their place; the sum goes through it again with the length."""
     if not len(starts):
         return np.zeros(0, U64)
-    c = np.zeros(len(data) + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", len(data)), out=c[1:])
-    h = (c[ends] - c[starts]) * _power("down", len(data))[starts]
-    # sums by 2^64 alone agree on some strings of strong structure (of 1024 letters and more), whatever the multiplier
-    c = _modular_sums(_LOWER[data] if lower else data)
-    prime = U64(_PRIME)
-    # the running sum is reduced now and then, so a difference may be negative: a multiple of the prime above 2^63 is added
-    other = (c[ends] - c[starts] + prime * U64((1 << 63) // _PRIME + 1)) % prime * _modular("down", len(data))[starts].astype(U64) % prime
-    return mix(h ^ other * _ODD)
+    whole = np.zeros((len(data) >> 3) + 2, "<u8")
+    whole.view(np.uint8)[: len(data)] = _LOWER[data] if lower else data
+
+    def words(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        k, shift = at >> 3, ((at & 7) << 3).astype(U64)
+        x = whole[k] >> shift
+        x |= (whole[k + 1] << (U64(63) - shift)) << U64(1)
+        return x & _MASK[np.minimum(left, 8)]
+
+    length = ends - starts
+    h = mix(words(starts, length))
+    more = np.flatnonzero(length > 8)
+    if len(more):
+        n = (length[more] - 1) >> 3
+        before = np.cumsum(n) - n
+        step = np.arange(1, before[-1] + n[-1] + 1) - np.repeat(before, n)
+        x = words(np.repeat(starts[more], n) + (step << 3), np.repeat(length[more], n) - (step << 3))
+        h[more] += np.add.reduceat(mix(x ^ step.astype(U64) * _P), before)
+    return mix(h ^ length.astype(U64) * _ODD)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import line_dedup as L
+from strandlake.llm.textops import span_hashes
 
 from .data import nasty, nothing
 
@@ -145,3 +147,30 @@ def test_long_texts_come_in_parts(spark, monkeypatch):
         lines = L.Lines(data, off)
         found += zip((n + lines.number).tolist(), lines.hash.tolist())
     assert found == [(n, x) for _, n, x in whole]
+
+
+def test_texts_are_not_dealt_out_for_their_lines(spark):
+    """Lines come from one scan: equal rows are told by their lines, not by a shuffle of texts; they count once."""
+    long, alike = "a line that is long enough to be linked", "a line that is long enough to be linkeD"
+    texts = [(1, f"{long}\nx\n{alike}\nx")] * 3 + [(1, "x"), (2, f"y\n{alike}"), (None, "x\n \t\n\x0ex"), (None, "x\n \t\n\x0ex"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    marked = docs.withColumn("m", F.xxhash64(F.coalesce("text", F.lit(""))))
+    assert "Exchange" not in L.occurrences(spark.createDataFrame(marked.collect(), marked.schema), "m")._jdf.queryExecution().toString()
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped, r.n_linked, r.n_links, r.n_shared) for r in L.dedup(docs).collect()}
+    assert got == {(1, f"{long}\nx", 4, 2, 2, 2, 4), (1, "x", 1, 0, 0, 0, 1), (2, f"y\n{alike}", 2, 0, 1, 1, 1), (None, "x\n \t\n\x0ex", 2, 0, 0, 0, 1), (3, None, 0, 0, 0, 0, 0)}
+    assert L.dedup(docs).count() == len(texts)
+
+
+def test_hashes_of_spans():
+    """Equal bytes have equal hashes wherever they lie; different ones of any length, and strings of strong structure, do not."""
+    random.seed(6)
+    strings = [bytes(random.choice(b"aB\0\xc3") for _ in range(random.randint(0, 40))) for _ in range(2000)]
+    strings += [bytes(97 + bin(i).count("1") % 2 ^ flip for i in range(n)) for n in (1024, 4096) for flip in (0, 1)] + [b"a" * n for n in range(64)]
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    ends = np.cumsum([len(x) for x in strings])
+    for lower in (False, True):
+        h = span_hashes(data, ends - [len(x) for x in strings], ends, lower)
+        found = {}
+        for x, y in zip(strings, h.tolist()):
+            assert found.setdefault(x.lower() if lower else x, y) == y
+        assert len(set(found.values())) == len(found)
