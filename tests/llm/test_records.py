@@ -6,6 +6,7 @@ import pytest
 
 import public_tokenizers
 from strandlake.llm import records
+from strandlake.llm import tokens
 from strandlake.llm.tokens import Encoder
 from strandlake.llm.textops import blocks
 from tokenizers import Tokenizer
@@ -31,6 +32,32 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     assert got == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def ids_of(encode, texts, size=2000):
+    import pyarrow as pa
+
+    out = []
+    for _, data, offsets in blocks(pa.array(texts, pa.string()), size):
+        ids, first = encode(data, offsets)
+        out += [ids[first[k] : first[k + 1]].tolist() for k in range(len(offsets) - 1)]
+    return out
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_one_spelling_are_learnt_once(name, monkeypatch):
+    """Capitals, spaces before words, letters with marks, and pieces that are forgotten and met again."""
+    random.seed(5)
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    parts = ["Word", "word", " word", " WORD", "été", " Été", "ÉTÉ", "ß", "ÿ", "µª", "H\u0331", "h\u0331", "İ", "K", "Σς", "'S", "'s", "n't", "0", " 0", " 10a", "\n", "  ", " \t", ".", "x" * 30]
+    texts = ["".join(random.choice([*parts, *(" " + random.choice("abCé") * k for k in range(1, 30))]) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    encode, whole = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    assert ids_of(encode, texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encode.old.n > 40
+    if name.startswith("word"):
+        encode = Encoder(public_tokenizers.path(name))
+        assert len(ids_of(encode, ["Word word WORD wOrD"])[0]) == 4 * len(whole.encode("word", add_special_tokens=False).ids)
+        assert encode.young.n == 1
+
+
 def expected(rows):
     whole, out, start = Tokenizer.from_file(PATH), [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
