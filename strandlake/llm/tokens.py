@@ -166,6 +166,8 @@ class Encoder:
         else:
             self.separator = None
         self.bare = None
+        # what the tokenizer looks for in a text before anything else, wherever it may lie
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         steps = json.loads(self.tokenizer.to_str())
         if all(steps[k] == v for k, v in _FOLDED.items()) and self.separator == " 0 " and not any(x["content"].isalnum() for x in steps["added_tokens"]):
             self.bare = Tokenizer(self.tokenizer.model)
@@ -237,7 +239,18 @@ class Encoder:
             self.young.add(hashes[alone], np.concatenate(found), np.array([len(f) for f in found], np.int64))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many lie before each text."""
+        """All ids of the texts, and how many lie before each text. A text that holds an added token is encoded as a whole."""
+        ids, first = self._by_pieces(data, offsets)
+        raw = data.tobytes()
+        if not any(a in raw for a in self.added):
+            return ids, first
+        parts = np.split(ids, first[1:-1])
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if any(raw.find(x, a, b) >= 0 for x in self.added):
+                parts[i] = np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = pieces(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)

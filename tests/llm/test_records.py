@@ -58,6 +58,14 @@ def test_words_of_one_spelling_are_learnt_once(name, monkeypatch):
         assert encode.young.n == 1
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts(name):
+    """What looks like a special token in a text has the ids that the tokenizer gives it."""
+    encode, whole = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["plain", "", "a <|endoftext|> b", "x<|startoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "plain again"]
+    assert ids_of(encode, texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def expected(rows):
     whole, out, start = Tokenizer.from_file(PATH), [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
