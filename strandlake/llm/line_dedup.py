@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom
 from .common import cut, documents, fresh, stash
 from .components import components
-from .textops import _BYTE, _SPACE, U64, _power, blocks, mix, span_hashes, tidy
+from .textops import _BYTE, _SPACE, U64, _power, blocks, mix, release, span_hashes, tidy
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ MAP_BITS = 512
 #: Bytes of text worked on at once: a byte takes some twenty words of scratch where keys or maps are made, which should stay in
 #: a core's cache.
 BLOCK = 1 << 18
-#: Hashes of lines that a task remembers having sent keys for.
+#: Places where a task remembers hashes of lines that it sent keys for; one that finds another hash in its place takes it.
 SEEN = 1 << 20
 
 
@@ -223,16 +223,18 @@ def within_edits(a: str, b: str, t: int) -> bool:
 def _key_rows(docs: DataFrame, p: LineDedup) -> DataFrame:
     @tidy
     def run(batches):
-        seen = np.zeros(0, U64)
+        seen = np.arange(1, SEEN + 1, dtype=U64)  # no hash that belongs in its place
         for batch in batches:
             for _, _, data, offsets in line_blocks(batch.column(0)):
                 lines = Lines(data, offsets)
                 rows = np.flatnonzero(p.allowed(lines.length) > 0)
                 rows = rows[np.unique(lines.hash[rows], return_index=True)[1]]
-                rows = rows[~np.isin(lines.hash[rows], seen)]
+                at = lines.hash[rows] & U64(SEEN - 1)
+                new = seen[at] != lines.hash[rows]
+                rows, at = rows[new], at[new]
                 if not len(rows):
                     continue
-                seen = np.concatenate((seen, lines.hash[rows])) if len(seen) < SEEN else lines.hash[rows]
+                seen[at] = lines.hash[rows]
                 key, row, own = keys_of(lines, rows, p)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.hash[row].view(np.int64)), pa.array(own)], ["key", "h", "own"])
 
@@ -393,11 +395,14 @@ def dedup(docs: DataFrame, params: LineDedup | None = None, names: list[str] | N
             gone = set(gone)
             return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
-        return pd.Series([one(t, g) for t, g in zip(text, drop, strict=True)], dtype=object)
+        out = pd.Series([one(t, g) for t, g in zip(text, drop, strict=True)], dtype=object)
+        release()
+        return out
 
     of = F.col(gone)
     dropped = F.coalesce(F.greatest(F.size(of["drop"]), F.lit(0)), F.lit(0))
-    text = F.when(dropped > 0, without("text", of["drop"])).otherwise(F.col("text")).alias("text")
+    # Python is given every row, whatever stands around the call: texts that stay as they are do not go there
+    text = F.when(dropped > 0, without(F.when(dropped > 0, F.col("text")), F.when(dropped > 0, of["drop"]))).otherwise(F.col("text")).alias("text")
     counts = [of["l"], dropped, of["k"], of["i"], of["s"]]
     return out.select(*(text if c == "text" else F.col(c) for c in docs.columns), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in zip(counts, names, strict=True)))
 
