@@ -51,6 +51,6 @@ def bloom(hashes: DataFrame, most_bits: int = 28) -> Bloom:
 
     chunks = hashes.select(F.col(column).cast("long")).mapInArrow(part, "chunk int, bits binary").groupBy("chunk").applyInPandas(merge, "chunk int, bits binary")
     bits = np.zeros(1 << (log2_bits - 3), np.uint8)
-    for r in chunks.toLocalIterator():  # at most 2^most_bits bits in all
+    for r in chunks.collect():  # at most 2^most_bits bits in all; taken part by part, each part would be a job
         bits[r.chunk * CHUNK : r.chunk * CHUNK + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return Bloom(bits, log2_bits)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, stash, within
 from .textops import U64, blocks, mix, release, tidy
-from .tokens import ENCODED, encoder
+from .tokens import ENCODED, encoder, forget
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 
@@ -76,11 +76,22 @@ class Bm25:
 
     def __init__(self, ids: np.ndarray, first: np.ndarray, p: Packing, corpus: Corpus):
         n, length = len(first) - 1, np.diff(first)
-        pair, tf = np.unique(np.repeat(np.arange(n, dtype=np.uint64), length) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
-        self.doc, term = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64((1 << 32) - 1)).astype(np.int64)
+        # a word of eight bytes for each id, and nothing else of that size at a time: two workers share an executor's memory
+        pair = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), length)
+        np.bitwise_or(pair, ids, out=pair, dtype=np.uint64, casting="unsafe")
+        pair.sort()
+        at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
+        tf, pair = np.diff(at, append=len(pair)), pair[at]
+        self.doc, term = (pair >> np.uint64(32)).astype(np.int32), pair.astype(np.uint32).astype(np.int32)
+        del pair, at
         norm = p.k1 * (1 - p.b + p.b * length / max(1.0, corpus.mean))
-        self.weight = (corpus.idf[term] * tf * (p.k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.term, self.by_doc = term, np.searchsorted(self.doc, np.arange(n + 1))
+        weight = corpus.idf[term]
+        weight *= tf
+        weight *= p.k1 + 1
+        weight /= tf + norm[self.doc]
+        self.weight = weight.astype(np.float32)
+        del weight, tf
+        self.term, self.by_doc = term, np.searchsorted(self.doc, np.arange(n + 1, dtype=np.int32))
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = self.doc[order], self.weight[order]
         self.by_term = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=1))))
@@ -168,7 +179,7 @@ def encoded(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
     def run(batches):
         encode, df, done = encoder(tokenizer), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, data, offsets in blocks(batch.column(1), ENCODED):
+            for i, data, offsets in blocks(batch.column(1), ENCODED // 2):  # its scratch stands beside the known pieces
                 ids, first = encode(data, offsets)
                 m = len(offsets) - 1
                 pair = np.sort(np.repeat(np.arange(m, dtype=U64), np.diff(first)) << U64(32) | ids.astype(U64))
@@ -241,13 +252,16 @@ def packed(docs: DataFrame, tokenizer: str, params: Packing | None = None) -> Da
     corpus = corpus_of(rows, vocabulary)
 
     def pack(table: pa.Table) -> pa.Table:
+        forget()  # the encoder has done its work
+        release()
         table = table.sort_by([("doc_id", "ascending"), ("row", "ascending")])
-        raw = table.column("ids").to_pylist()
-        ids = np.frombuffer(b"".join(raw), f"<u{width}").astype(np.int32)
-        first = np.cumsum([0, *(len(x) // width for x in raw)])
+        raw = table.column("ids").combine_chunks().cast(pa.large_binary())
+        first = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // width
+        ids = np.frombuffer(raw.buffers()[2], f"<u{width}")[first[0] : first[-1]] if first[-1] > first[0] else np.zeros(0, f"<u{width}")
+        first = first - first[0]
         doc_ids, row, shard = table.column("doc_id").combine_chunks(), table.column("row").combine_chunks(), table.column("shard")[0].as_py()
-        same = [hash(x) for x in raw]
-        del raw, table
+        same = [hash(ids[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
+        del table
         pieces = arrange(ids, first, same, p, corpus)
         end = np.array([p.end_id], "<u4").tobytes()
         crc = []
@@ -268,7 +282,7 @@ def packed(docs: DataFrame, tokenizer: str, params: Packing | None = None) -> Da
                 "row": row.take(pa.array(col[0])),
             }
         )
-        del ids, pieces, col
+        del raw, ids, pieces, col
         release()
         return out
 

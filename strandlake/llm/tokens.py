@@ -286,3 +286,8 @@ def encoder(path: str) -> Encoder:
         _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Gives up the worker's encoder, for steps that need its memory."""
+    _encoders.clear()

@@ -4,7 +4,9 @@ import re
 import numpy as np
 import pytest
 
+from strandlake.llm import components as components_module
 from strandlake.llm import near_dedup as N
+from strandlake.llm.bloom import bloom
 from strandlake.llm.components import components
 
 from .data import nasty, nothing
@@ -109,6 +111,35 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_small_graphs_take_few_jobs(spark, monkeypatch):
+    """Components of few edges, and a small Bloom filter, cost a few jobs whatever the partitions; more edges go by rounds."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(500 - i, 499 - i) for i in range(30)] + [(None, 3), (4, None)], "u long, v long").repartition(8).cache()
+    given = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+
+    def jobs(name, work):
+        spark.sparkContext.setJobGroup(name, name)
+        out = work()
+        spark.sparkContext._jsc.clearJobGroup()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    found = lambda: {r.id: r.component for r in components(edges).collect()}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        small, n = jobs("small graph", found)
+        assert n <= 10
+        monkeypatch.setattr(components_module, "LOCAL", 50)
+        assert found() == small and len(small) > 90
+        filter_, n = jobs("filter", lambda: bloom(spark.range(30_000).select("id")))
+        assert n <= 10 and filter_.may_have(np.arange(30_000, dtype=np.uint64)).all()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        edges.unpersist()
+
+
 def test_stage_links_from_four_fifths(spark, sf):
     """196 shingles each: four words changed leave 176 of 216 (0.81), five 171 of 221 (0.77)."""
     w = [f"w{i}" for i in range(200)]

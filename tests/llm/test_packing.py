@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,3 +148,22 @@ def test_shards_hold_like_documents_and_none_overflows(spark):
         load[r.shard] += r.n
     assert max(load.values()) <= 4 * p.shard_tokens and len(load) > 5
     check(packing.packed(docs, PATH, p).collect(), docs.collect(), 2048)
+
+
+def test_index_memory():
+    """The index of a shard is made in 24 bytes an id at most, and scores as the formula does."""
+    rng = np.random.default_rng(3)
+    ids, first = (rng.zipf(1.3, 1 << 19) % 5000).astype("<u2"), np.arange(0, (1 << 19) + 1, 1 << 9)
+    df = np.bincount(np.unique(np.repeat(np.arange(1 << 10), 1 << 9) * 5000 + ids) % 5000, minlength=5000)
+    p, corpus = packing.Packing(), packing.Corpus(1 << 10, 512.0, df)
+    tracemalloc.start()
+    index = packing.Bm25(ids, first, p, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(ids)
+    for doc in (0, 1023):
+        tf = Counter(ids[first[doc] : first[doc + 1]].tolist())
+        a, b = index.by_doc[doc : doc + 2]
+        assert index.term[a:b].tolist() == sorted(tf)
+        expected = [np.log1p((1024 - df[t] + 0.5) / (df[t] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * 512 / 512.0)) for t, n in sorted(tf.items())]
+        assert np.allclose(index.weight[a:b], expected, rtol=1e-6)
